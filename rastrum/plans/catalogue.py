@@ -1,2 +1,270 @@
-QUERIES = {}
-ORACLES = {}
+"""Every operator as a query over the test tables, with the SQL it is compared with."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rastrum.functions import kernels as K
+from rastrum.functions.borders import NA, Fill, Inner, Pad
+from rastrum.operators.denoise import denoise_tv
+from rastrum.operators.features import blob_log, find_local_maxima, find_local_minima, gradients
+from rastrum.operators.filtering import filter_raster
+from rastrum.operators.padding import pad_raster
+from rastrum.operators.recursive import fold_lines
+from rastrum.operators.windows import map_window
+from rastrum.plans import oracle as O
+from rastrum.raster import Raster
+from rastrum.sources import tables as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+STYLES = ("replicate", "circular", "symmetric", "reflect")
+KEY = ("vec_id",)
+D8, D4 = O.dims((8, 8)), O.dims((4, 4, 4))
+DH = [("i", 30, 1), ("j", 24, 0)]
+DS = [("i", 83, 0), ("j", 50, 1)]
+
+
+def rounded(r: Raster, digits: int | None = 6) -> DataFrame:
+    v = F.col(r.value) if digits is None else F.round(F.col(r.value), digits) + F.lit(0.0)
+    return r.df.select(*r.keys, *r.names, v.alias("o"))
+
+
+def add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLES[name] = sql
+
+
+def add_fir(name: str, source: Callable, kernel, by, px: str, dense: K.Kernel, style: str, axes: list, keys: tuple[str, ...], where: str = "", **options) -> None:
+    add(name, lambda spark, d: rounded(filter_raster(source(spark, d), kernel, by, **options)), O.fir(px, dense, style, axes, keys, where))
+
+
+# Padding
+for style in STYLES:
+    add(
+        f"pad_{style}",
+        lambda spark, d, style=style: rounded(pad_raster(S.img8(spark, d), Pad(style, (3, 2), (4, 2)))),
+        f"with px as ({O.IMG8}) select g.vec_id, cast(p.i as int) as i, cast(q.j as int) as j, round(px.v, 6) + 0.0 as o from (select distinct vec_id from px) g, range(-3, 12) p(i), range(-2, 10) q(j), px "
+        f"where px.vec_id = g.vec_id and px.i = {O.index(style, 'p.i', 8)} and px.j = {O.index(style, 'q.j', 8)}",
+    )
+add(
+    "pad_fill",
+    lambda spark, d: rounded(pad_raster(S.img8(spark, d), Fill(7.5, (3, 2), (4, 2)))),
+    f"with px as ({O.IMG8}) select g.vec_id, cast(g.i as int) as i, cast(g.j as int) as j, round(coalesce(px.v, 7.5), 6) + 0.0 as o from "
+    "(select vec_id, i, j from (select distinct vec_id from px), range(-3, 12) p(i), range(-2, 10) q(j)) g left join px on px.vec_id = g.vec_id and px.i = g.i and px.j = g.j",
+)
+
+# FIR over borders
+BINOMIAL = K.factored([0.25, 0.5, 0.25], [0.25, 0.5, 0.25])
+add_fir("fir_binomial_replicate", S.img8, BINOMIAL, "replicate", O.IMG8, K.outer(BINOMIAL), "replicate", D8, KEY)
+for style in STYLES:
+    add_fir(f"fir_box3_{style}", S.img8, K.box(3, 3), style, O.IMG8, K.outer(K.box(3, 3)), style, D8, KEY)
+    add_fir(f"fir_gauss_{style}", S.img8, K.gaussian((1, 1)), style, O.IMG8, K.outer(K.gaussian((1, 1))), style, D8, KEY)
+for name, k in (("box3", K.box(3, 3)), ("gauss", K.gaussian((1, 1)))):
+    add(f"fir_{name}_fill", lambda spark, d, k=k: rounded(filter_raster(S.img8(spark, d), k, Fill(0.5))), O.fir_fill(O.IMG8, K.outer(k), 0.5, D8, KEY))
+OFF = K.kernel_at([[0.1, 0.2], [0.4, 0.5]], (-1, 1))
+DENSE = K.centered([[0.5, -1.0, 0.25], [0.0, 2.0, 0.125], [-0.75, 0.3, 1.5]])
+INTS = K.centered(np.array([[1, 2, 1], [0, -3, 2], [4, 1, 1]]))
+INNER = "where a.i between 1 and 6 and a.j between 1 and 6"
+add_fir("fir_offcentre", S.img8, OFF, "reflect", O.IMG8, OFF, "reflect", D8, KEY)
+add_fir("fir_dense_inseparable", S.img8, DENSE, "replicate", O.IMG8, DENSE, "replicate", D8, KEY)
+add_fir("fir_convolution", S.img8, K.reflect(DENSE), "replicate", O.IMG8, K.reflect(DENSE), "replicate", D8, KEY)
+add_fir("fir_svd_separated", S.img8, K.outer(K.gaussian((1, 1))), "symmetric", O.IMG8, K.outer(K.gaussian((1, 1))), "symmetric", D8, KEY)
+add_fir("fir_inner", S.img8, DENSE, Inner(), O.IMG8, DENSE, "", D8, KEY, INNER)
+add_fir("fir_roi", S.img8, DENSE, "circular", O.IMG8, DENSE, "circular", D8, KEY, "where a.i between 2 and 4 and a.j between 0 and 3", roi={"i": (2, 4), "j": (0, 3)})
+add_fir("fir_shipments", S.shipments, K.gaussian((2, 2)), "reflect", O.SHIPMENTS, K.outer(K.gaussian((2, 2))), "reflect", DS, ())
+add_fir("fir_channels", S.hours, BINOMIAL, "circular", O.HOURS, K.outer(BINOMIAL), "circular", DH, ("event_type",))
+add_fir("fir3d_box", S.vol4, K.box(3, 3, 3), "symmetric", O.VOL4, K.outer(K.box(3, 3, 3)), "symmetric", D4, KEY)
+add(
+    "fir_int",
+    lambda spark, d: rounded(filter_raster(S.img8q(spark, d), INTS, "replicate"), None),
+    O.fir(O.IMG8Q, INTS, "replicate", D8, KEY, out="cast(sum(b.v * kr.w) as bigint)"),
+)
+add(
+    "fir_na",
+    lambda spark, d: rounded(filter_raster(missing(S.img8(spark, d)), K.box(3, 3), NA())),
+    f"{O.with_px(f'select vec_id, i, j, case when v < -0.1 then null else v end as v from ({O.IMG8})', K.outer(K.box(3, 3)))} select {O.selected(D8, KEY)}, "
+    f"round(coalesce(sum(b.v * kr.w) / nullif(sum(case when b.v is not null then kr.w end), 0), cast('nan' as double)), 6) + 0.0 as o from px a cross join kr join px b on {O.join_on('', D8, KEY)} group by all",
+)
+
+
+def missing(r: Raster) -> Raster:
+    return r.with_df(r.df.withColumn("v", F.when(F.col("v") >= -0.1, F.col("v"))))
+
+
+# A cascade is padded once: the signal's composite kernel on one padded signal is the same
+STEP1, STEP2 = K.OneD(np.array([0.3, 0.4, 0.3]), 1, 0, 1), K.OneD(np.array([0.6, 0.4]), -1, 0, 1)
+WHOLE = K.convolve_kernels(STEP1.dense(), STEP2.dense(), STEP1.dense())
+SIG_ON = "b.user_id = a.user_id and b.i = "
+add(
+    "fir_cascade",
+    lambda spark, d: rounded(filter_raster(S.signals(spark, d), (STEP1, STEP2, STEP1), "replicate")),
+    f"with px as ({O.SIGNALS}), kr(d0, w) as {O.values(WHOLE)} select a.user_id, a.i, round(sum(b.v * kr.w), 6) + 0.0 as o from px a cross join kr join px b on {SIG_ON}{O.index('replicate', '(a.i + kr.d0)', 'a.n')} group by all",
+)
+
+# Kernel catalogue
+GABOR = K.centered(K.gabor(5, 5, 2.0, 0.3, 3.0, 0.8, 0.1)[0])
+for name, k in {
+    "laplacian": K.Laplacian().dense(), "laplacian2d": K.laplacian2d(0.5), "dog": K.dog(1), "log": K.log_kernel(1), "moffat": K.moffat(1.0, 2.5, 5), "gabor": GABOR,
+}.items():
+    add_fir(name, S.img8, K.Laplacian() if name == "laplacian" else k, "symmetric", O.IMG8, k, "symmetric", D8, KEY)
+add_fir("fft_gauss", S.img8, K.outer(K.gaussian((1, 1))), "circular", O.IMG8, K.outer(K.gaussian((1, 1))), "circular", D8, KEY, algorithm="fft")
+add_fir("fft_dog_inner", S.img8, K.dog(0.8, lengths=(5, 5)), Inner(), O.IMG8, K.dog(0.8, lengths=(5, 5)), "", D8, KEY, "where a.i between 2 and 5 and a.j between 2 and 5", algorithm="fft")
+
+
+def folded(n: int, sigma: float) -> np.ndarray:
+    """A recursive filter is linear: its matrix, from unit impulses."""
+    return fold_lines(np.eye(n), K.iir_gaussian(sigma), None)
+
+
+def matrix_sql(px: str, key: str, matrix: np.ndarray, axis: str, other: str, first: int) -> str:
+    cells = ", ".join(f"({r + first}, {c + first}, cast({w!r} as double))" for (r, c), w in np.ndenumerate(matrix.astype(object)))
+    return f"with px as ({px}), m(r, c, w) as (values {cells}) select b.{key}, cast(m.r as int) as {axis}, b.{other}, round(sum(b.v * m.w), 6) + 0.0 as o from m join px b on b.{axis} = m.c group by all"
+
+
+add(
+    "iir_gauss_1d",
+    lambda spark, d: rounded(filter_raster(S.hours(spark, d), (K.iir_gaussian(2.0), None), "replicate")).select("event_type", "i", "j", "o"),
+    matrix_sql(O.HOURS, "event_type", folded(30, 2.0), "i", "j", 1),
+)
+both = np.kron(folded(8, 1.5), folded(8, 2.0))
+add("iir_gauss_2d", lambda spark, d: rounded(filter_raster(S.img8(spark, d), (K.iir_gaussian(1.5), K.iir_gaussian(2.0)))),
+    f"with px as ({O.IMG8}), m(r, c, w) as (values " + ", ".join(f"({r}, {c}, cast({float(w)!r} as double))" for (r, c), w in np.ndenumerate(both))
+    + ") select b.vec_id, cast(m.r // 8 as int) as i, cast(m.r % 8 as int) as j, round(sum(b.v * m.w), 6) + 0.0 as o from m join px b on b.i * 8 + b.j = m.c group by all")
+
+# Sliding windows
+SPAN33, SPAN35 = O.window_kernel([(-1, 1), (-1, 1)]), O.window_kernel([(-1, 1), (-2, 2)])
+for name, sql in {
+    "min": "min(b.v)", "max": "max(b.v)", "sum": "sum(b.v)", "mean": "avg(b.v)", "median": "median(b.v)", "std": "stddev_samp(b.v)",
+    "quantile": "quantile_cont(b.v, 0.7)", "first": "arg_min(b.v, kr.d0 + 10 * kr.d1)", "lower_median": "list_sort(list(b.v))[8]",
+}.items():
+    add(
+        f"mapwin_{name}",
+        lambda spark, d, name=name: rounded(map_window(S.img8(spark, d), name, (3, 5), "reflect", q=0.7)),
+        O.fir(O.IMG8, SPAN35, "reflect", D8, KEY, out=f"round({sql}, 6) + 0.0"),
+    )
+add("mapwin_median_signal", lambda spark, d: rounded(map_window(S.signals(spark, d), "median", 5, "replicate")),
+    f"with px as ({O.SIGNALS}), kr(d0) as (values (-2), (-1), (0), (1), (2)) select a.user_id, a.i, round(median(b.v), 6) + 0.0 as o from px a cross join kr join px b on {SIG_ON}{O.index('replicate', '(a.i + kr.d0)', 'a.n')} group by all")
+add("mapwin_asym", lambda spark, d: rounded(map_window(S.signals(spark, d), "max", (-3, 1), "replicate")),
+    f"with px as ({O.SIGNALS}), kr(d0) as (values (-3), (-2), (-1), (0), (1)) select a.user_id, a.i, round(max(b.v), 6) + 0.0 as o from px a cross join kr join px b on {SIG_ON}{O.index('replicate', '(a.i + kr.d0)', 'a.n')} group by all")
+add("mapwin_fill", lambda spark, d: rounded(map_window(S.img8(spark, d), "mean", (3, 3), Fill(1.0))), O.fir_fill(O.IMG8, K.Kernel(np.full((3, 3), 1 / 9), (1, 1)), 1.0, D8, KEY))
+add("mapwin_inner", lambda spark, d: rounded(map_window(S.img8(spark, d), "max", (3, 3), Inner())), O.fir(O.IMG8, SPAN33, "", D8, KEY, INNER, "round(max(b.v), 6) + 0.0"))
+add("mapwin_strided", lambda spark, d: rounded(map_window(S.img8(spark, d), "median", (3, 3), "symmetric", indices={"i": range(1, 8, 3)})),
+    f"select vec_id, cast((i - 1) // 3 as int) as i, j, o from ({O.fir(O.IMG8, SPAN33, 'symmetric', D8, KEY, 'where a.i % 3 = 1', 'round(median(b.v), 6) + 0.0')})")
+add("mapwin_extrema", lambda spark, d: extrema(spark, d),
+    f"with px as ({O.SIGNALS}) select user_id, i, round(min(v) over w, 6) + 0.0 as low, round(max(v) over w, 6) + 0.0 as high from px window w as (partition by user_id order by i rows between 2 preceding and 1 following)")
+add("mapwin_python", lambda spark, d: rounded(map_window(S.img8(spark, d), lambda w: float(np.ptp(w)), (3, 3), "circular", python=True)),
+    O.fir(O.IMG8, SPAN33, "circular", D8, KEY, out="round(max(b.v) - min(b.v), 6) + 0.0"))
+add("mapwin_3d_sum", lambda spark, d: rounded(map_window(S.vol4(spark, d), "sum", (1, 3, 3), "replicate")), O.fir(O.VOL4, O.window_kernel([(0, 0), (-1, 1), (-1, 1)]), "replicate", D4, KEY, out="round(sum(b.v), 6) + 0.0"))
+
+
+def extrema(spark: SparkSession, d: str) -> DataFrame:
+    r = map_window(S.signals(spark, d), "extrema", 4)
+    return r.df.select("user_id", "i", (F.round("v.min", 6) + F.lit(0.0)).alias("low"), (F.round("v.max", 6) + F.lit(0.0)).alias("high"))
+
+
+# Composites of windows
+def minmax_edge(spark: SparkSession, d: str) -> DataFrame:
+    r = map_window(S.img8(spark, d), "extrema", (3, 3))
+    return r.df.select("vec_id", "i", "j", (F.round(F.col("v.max") - F.col("v.min"), 6) + F.lit(0.0)).alias("o"))
+
+
+add("minmax_edge", minmax_edge, O.fir(O.IMG8, SPAN33, "replicate", D8, KEY, out="round(max(b.v) - min(b.v), 6) + 0.0"))
+TEMPLATE = K.centered([[0.1, 0.0, -0.1], [0.2, 0.3, 0.0], [-0.2, 0.1, 0.1]])
+WEIGHTS = {a * 1 + b * 3: float(TEMPLATE.weights[a, b]) for a in range(3) for b in range(3)}
+
+
+def template_ssd(spark: SparkSession, d: str) -> DataFrame:
+    wanted = F.array(*[F.lit(WEIGHTS[k]) for k in range(9)])
+    return rounded(map_window(S.img8(spark, d), lambda v, o: F.sum(F.pow(v - F.element_at(wanted, o + 1), F.lit(2.0))), (3, 3), Fill(1.0)))
+
+
+SHIFTED = K.Kernel(np.where(TEMPLATE.weights == 0, 1e-300, TEMPLATE.weights), TEMPLATE.origin)  # no tap may vanish from the list
+add("template_ssd", template_ssd, O.fir_fill(O.IMG8, SHIFTED, 1.0, D8, KEY).replace("sum(coalesce(b.v, 1.0) * kr.w)", "sum(power(coalesce(b.v, 1.0) - kr.w, 2))"))
+add("nan_median", lambda spark, d: rounded(map_window(with_nan(S.img8(spark, d)), "nan_median", (3, 3), "replicate")),
+    O.fir(f"select vec_id, i, j, case when v < -0.15 then null else v end as v from ({O.IMG8})", SPAN33, "replicate", D8, KEY, out="round(median(b.v), 6) + 0.0"))
+
+
+def with_nan(r: Raster) -> Raster:
+    return r.with_df(r.df.withColumn("v", F.when(F.col("v") >= -0.15, F.col("v")).otherwise(float("nan"))))
+
+
+# Gradients
+for name in K.GRADIENTS:
+    parts = []
+    for dim in (0, 1):
+        k = K.outer(K.gradient_kernel(name, (True, True), dim))
+        parts.append(f"(select * from ({O.fir(O.IMG8, k, 'replicate', D8, KEY)}))")
+    add(
+        f"grad_{name}",
+        lambda spark, d, name=name: (g := gradients(S.img8(spark, d), name)).df.select("vec_id", "i", "j", *[(F.round(f"g{k}", 6) + F.lit(0.0)).alias(f"g{k}") for k in (1, 2)]),
+        f"select x.vec_id, x.i, x.j, x.o as g1, y.o as g2 from {parts[0]} x join {parts[1]} y on x.vec_id = y.vec_id and x.i = y.i and x.j = y.j",
+    )
+
+# Local extrema and blobs
+for name, find, sign in (("localmax", find_local_maxima, ">"), ("localmin", find_local_minima, "<")):
+    for tail, edges in (("", True), ("_inside", False)):
+        inside = "" if edges else " and a.i between 1 and 6 and a.j between 1 and 6"
+        add(
+            name + tail,
+            lambda spark, d, find=find, edges=edges: find(S.img8(spark, d), edges=edges).select("vec_id", "i", "j", (F.round("v", 6) + F.lit(0.0)).alias("o")),
+            f"with px as ({O.IMG8}) select a.vec_id, a.i, a.j, round(a.v, 6) + 0.0 as o from px a where not exists (select 1 from px b where b.vec_id = a.vec_id "
+            f"and abs(b.i - a.i) <= 1 and abs(b.j - a.j) <= 1 and (b.i <> a.i or b.j <> a.j) and not (a.v {sign} b.v)){inside}",
+        )
+add("localmax_shipments", lambda spark, d: find_local_maxima(S.shipments(spark, d), (5, 3)).select("i", "j", F.col("v").alias("o")),
+    f"with px as ({O.SHIPMENTS}) select a.i, a.j, a.v as o from px a where not exists (select 1 from px b where abs(b.i - a.i) <= 2 and abs(b.j - a.j) <= 1 and (b.i <> a.i or b.j <> a.j) and not (a.v > b.v))")
+SCALES = (1.0, math.sqrt(2), 2.0)
+
+
+def blobs(spark: SparkSession, d: str) -> DataFrame:
+    found = blob_log(S.hours(spark, d), SCALES, threshold=0.05)
+    return found.select("event_type", "i", "j", (F.round(F.element_at("sigma", 1), 6) + F.lit(0.0)).alias("sigma"), (F.round("amplitude", 6) + F.lit(0.0)).alias("amplitude"))
+
+
+def blobs_sql() -> str:
+    slices = []
+    for s, sigma in enumerate(SCALES):
+        k = K.log_kernel((sigma, sigma))
+        slices.append(f"select event_type, i, j, {s} as s, cast({sigma!r} as double) as sigma, -{sigma!r}::double * o as v from ({O.fir(O.HOURS, k, 'reflect', DH, ('event_type',), out='sum(b.v * kr.w)')})")
+    return (
+        f"with st as materialized ({' union all '.join(slices)}), top as (select event_type, max(v) as t from ({O.HOURS}) group by 1) "
+        "select a.event_type, a.i, a.j, round(a.sigma, 6) + 0.0 as sigma, round(a.v, 6) + 0.0 as amplitude from st a join top on top.event_type = a.event_type "
+        "where a.i between 2 and 29 and a.j between 1 and 22 and a.v > 0.05 / (a.sigma * a.sigma) * top.t and not exists (select 1 from st b where b.event_type = a.event_type "
+        "and abs(b.s - a.s) <= 1 and abs(b.i - a.i) <= 1 and abs(b.j - a.j) <= 1 and (b.s <> a.s or b.i <> a.i or b.j <> a.j) and b.v >= a.v)"
+    )
+
+
+add("blob_log", blobs, blobs_sql())
+
+
+# Denoising: two rounds written out
+def tv_sql(lam: float, rounds: int) -> str:
+    lam = float(np.float32(lam))
+    t = 0.25 / lam
+    sql = [f"g as ({O.IMG8})"]
+
+    def slopes(name: str, source: str) -> str:
+        return (
+            f"{name} as (select a.vec_id, a.i, a.j, x.v - a.v as s1, y.v - a.v as s2 from {source} a join {source} x on x.vec_id = a.vec_id and x.i = (a.i + 1) % 8 and x.j = a.j "
+            f"join {source} y on y.vec_id = a.vec_id and y.i = a.i and y.j = (a.j + 1) % 8)"
+        )
+
+    sql.append(slopes("p0", "g"))
+    for k in range(rounds):
+        sql.append(
+            f"u{k} as (select a.vec_id, a.i, a.j, g.v - {lam!r}::double * (a.s1 - x.s1 + a.s2 - y.s2) as v from p{k} a join g on g.vec_id = a.vec_id and g.i = a.i and g.j = a.j "
+            f"join p{k} x on x.vec_id = a.vec_id and x.i = (a.i + 7) % 8 and x.j = a.j join p{k} y on y.vec_id = a.vec_id and y.i = a.i and y.j = (a.j + 7) % 8)"
+        )
+        sql.append(slopes(f"d{k}", f"u{k}"))
+        size = f"(1 + {t!r}::double * sqrt(d.s1 * d.s1 + d.s2 * d.s2))"
+        sql.append(f"p{k + 1} as (select a.vec_id, a.i, a.j, (a.s1 - {t!r}::double * d.s1) / {size} as s1, (a.s2 - {t!r}::double * d.s2) / {size} as s2 from p{k} a join d{k} d on d.vec_id = a.vec_id and d.i = a.i and d.j = a.j)")
+    return f"with {', '.join(sql)} select vec_id, i, j, round(v, 6) + 0.0 as o from u{rounds - 1}"
+
+
+add("rof_tv", lambda spark, d: rounded(denoise_tv(S.img8(spark, d), 0.1, 2)), tv_sql(0.1, 2))
