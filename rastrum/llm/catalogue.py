@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from rastrum.llm.ann import op4_ann
 from rastrum.llm.bpe import op6_bpe
+from rastrum.llm.hnsw import op9_near_embeddings
 from rastrum.llm.lines import OP1_SQL, op1_line_dedup
 from rastrum.llm.lm import op3_lm_scoring
 from rastrum.llm.packing import op8_packing
@@ -13,9 +15,11 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sharding": op2_sharding,
     "op3_lm_scoring": op3_lm_scoring,
+    "op4_ann": op4_ann,
     "op6_bpe": op6_bpe,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
+    "op9_near_embeddings": op9_near_embeddings,
 }
 
 ORACLES = {"op1_line_dedup": OP1_SQL, "op2_sharding": OP2_SQL}
