@@ -5,6 +5,7 @@ from __future__ import annotations
 from rastrum.llm.ann import op4_ann
 from rastrum.llm.bpe import op6_bpe
 from rastrum.llm.hnsw import op9_near_embeddings
+from rastrum.llm.jaccard import OP5_SQL, op5_jaccard_join
 from rastrum.llm.lines import OP1_SQL, op1_line_dedup
 from rastrum.llm.lm import op3_lm_scoring
 from rastrum.llm.packing import op8_packing
@@ -16,10 +17,11 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_ann": op4_ann,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_bpe": op6_bpe,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
     "op9_near_embeddings": op9_near_embeddings,
 }
 
-ORACLES = {"op1_line_dedup": OP1_SQL, "op2_sharding": OP2_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op2_sharding": OP2_SQL, "op5_jaccard_join": OP5_SQL}
