@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from rastrum.llm.ann import op4_ann
 from rastrum.llm.bpe import op6_bpe
 from rastrum.llm.hnsw import op9_near_embeddings
@@ -9,6 +10,7 @@ from rastrum.llm.jaccard import OP5_SQL, op5_jaccard_join
 from rastrum.llm.lines import OP1_SQL, op1_line_dedup
 from rastrum.llm.lm import op3_lm_scoring
 from rastrum.llm.packing import op8_packing
+from rastrum.llm.passages import op10_substring_dedup
 from rastrum.llm.quality import op7_quality
 from rastrum.llm.shards import OP2_SQL, op2_sharding
 
@@ -22,6 +24,10 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
     "op9_near_embeddings": op9_near_embeddings,
+    "op10_substring_dedup": op10_substring_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {"op1_line_dedup": OP1_SQL, "op2_sharding": OP2_SQL, "op5_jaccard_join": OP5_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

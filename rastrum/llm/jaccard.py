@@ -20,7 +20,7 @@ give no rows; other columns are ignored. Set and shingle identity is by 64-bit h
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -121,6 +121,41 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, chun
     return texts.groupBy("lead", "chunk").applyInPandas(compare, "a long, b long")
 
 
+def linked_groups(lists: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) from lists of sets, rows (key, sid, n, place, low), and a ``verify`` of (a, b) pairs.
+
+    ``n``: the set's size; ``place``: the key's position in the set's order, -1 where positions say
+    nothing; ``low``: the least sid of the list.
+    """
+    # Round one: each set against the leader that most of its lists have.
+    stars = lists.where("sid <> low").groupBy(F.col("low").alias("a"), F.col("sid").alias("b")).agg(F.count("*").alias("k"))
+    best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("k"), "a"))
+    stars = stars.withColumn("__r", best).where("__r = 1").select("a", "b")
+    first = written(verify(stars), "links")
+    groups = written(components(first), "groups")
+
+    # Round two: whatever shares a list but not a component.
+    placed = lists.drop("low").join(groups.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
+    tally = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    major = tally.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("t"), F.count("*").alias("c")).where("c > 1").select("key", F.col("t.comp").alias("major"))
+    mixed = written(placed.join(major, "key"), "mixed")
+    minor = mixed.where("comp <> major").select("key", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "place", "comp")])
+    every = mixed.select("key", "major", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "place", "comp")])
+    fits = (F.col("n_a") * 4 >= F.col("n_b") * 3) & (F.col("n_b") * 4 >= F.col("n_a") * 3)
+    once = (F.col("comp_b") == F.col("major")) | (F.col("sid_a") < F.col("sid_b"))
+    met = minor.join(every, "key").where((F.col("comp_a") != F.col("comp_b")) & fits & once)
+    a_first = F.col("sid_a") < F.col("sid_b")
+    pick = lambda x, y: F.when(a_first, F.col(x)).otherwise(F.col(y))
+    met = met.select(
+        pick("sid_a", "sid_b").alias("a"), pick("sid_b", "sid_a").alias("b"), pick("n_a", "n_b").alias("na"), pick("n_b", "n_a").alias("nb"), pick("place_a", "place_b").alias("pa"), pick("place_b", "place_a").alias("pb"),
+    )
+    summed = met.groupBy("a", "b", "na", "nb").agg(F.count_if(F.col("pa") >= 0).alias("k"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.min("pa").alias("least"))
+    most = F.col("k") + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
+    doubtful = summed.where((F.col("least") < 0) | (most * 7 >= (F.col("na") + F.col("nb")) * 3)).select("a", "b")
+    second = written(verify(doubtful), "links")
+    return written(components(first.unionByName(second)), "groups")
+
+
 def near_classes(docs: DataFrame, size: int = 5, heavy_from: int = 16, most_frequent: int = 200_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``; links at Jaccard 0.75 or more."""
     spark = docs.sparkSession
@@ -170,34 +205,7 @@ def near_classes(docs: DataFrame, size: int = 5, heavy_from: int = 16, most_freq
     size_of, place = F.floor(F.col("np") / (1 << 32)).cast("long"), (F.col("np") % (1 << 32) - 1).cast("int")
     lists = written(lists.select("key", "sid", size_of.alias("n"), place.alias("place"), "low").distinct(), "lists")
 
-    # Round one: each set against the leader that most of its lists have.
-    stars = lists.where("sid <> low").groupBy(F.col("low").alias("a"), F.col("sid").alias("b")).agg(F.count("*").alias("k"))
-    best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("k"), "a"))
-    stars = stars.withColumn("__r", best).where("__r = 1").select("a", "b")
-    first = written(verified(stars, reps, docs, size), "links")
-    groups = written(components(first), "groups")
-
-    # Round two: whatever shares a list but not a component.
-    placed = lists.drop("low").join(groups.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
-    tally = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    major = tally.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("t"), F.count("*").alias("c")).where("c > 1").select("key", F.col("t.comp").alias("major"))
-    mixed = written(placed.join(major, "key"), "mixed")
-    minor = mixed.where("comp <> major").select("key", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "place", "comp")])
-    every = mixed.select("key", "major", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "place", "comp")])
-    fits = (F.col("n_a") * 4 >= F.col("n_b") * 3) & (F.col("n_b") * 4 >= F.col("n_a") * 3)
-    once = (F.col("comp_b") == F.col("major")) | (F.col("sid_a") < F.col("sid_b"))
-    met = minor.join(every, "key").where((F.col("comp_a") != F.col("comp_b")) & fits & once)
-    a_first = F.col("sid_a") < F.col("sid_b")
-    pick = lambda x, y: F.when(a_first, F.col(x)).otherwise(F.col(y))
-    met = met.select(
-        pick("sid_a", "sid_b").alias("a"), pick("sid_b", "sid_a").alias("b"), pick("n_a", "n_b").alias("na"), pick("n_b", "n_a").alias("nb"), pick("place_a", "place_b").alias("pa"), pick("place_b", "place_a").alias("pb"),
-    )
-    summed = met.groupBy("a", "b", "na", "nb").agg(F.count_if(F.col("pa") >= 0).alias("k"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.min("pa").alias("least"))
-    most = F.col("k") + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
-    doubtful = summed.where((F.col("least") < 0) | (most * 7 >= (F.col("na") + F.col("nb")) * 3)).select("a", "b")
-    second = written(verified(doubtful, reps, docs, size), "links")
-    groups = written(components(first.unionByName(second)), "groups")
-
+    groups = linked_groups(lists, lambda pairs: verified(pairs, reps, docs, size))
     named = reps.join(groups.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least_doc = named.groupBy("component").agg(F.min("doc").alias("component_id"))
     named = written(named.join(least_doc, "component").select("sid", "copies", F.nullif("component_id", F.lit(LAST_ID)).alias("component_id")), "named")
