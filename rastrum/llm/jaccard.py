@@ -23,7 +23,6 @@ import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +32,8 @@ from rastrum.llm.words import lowered, mix, shingle_hashes, word_hashes
 
 LAST_ID = (1 << 63) - 1
 MOST_BROADCAST = 400_000
+#: A set of n shingles enters 1 + n // SPARE more of them in lists than it could miss, so linked sets share that many.
+SPARE = 24
 
 
 def shingle_set(text: str, size: int = 5) -> np.ndarray:
@@ -75,8 +76,9 @@ def signature(ordered: np.ndarray, boundary: int) -> tuple[np.ndarray, np.ndarra
     slack = n - -(-3 * n // 4)
     keys, places = [], []
     if n > boundary or 4 * n >= 3 * boundary or n < 2:
-        keys.append(ordered[: slack + 1])
-        places.append(np.arange(slack + 1))
+        entries = slack + 1 + n // SPARE
+        keys.append(ordered[:entries])
+        places.append(np.arange(entries))
     if 2 <= n <= boundary:
         a, b = np.triu_indices(min(n, slack + 2), 1)
         keys.append(mix(ordered[a] * np.uint64(0x9E3779B97F4A7C15) + ordered[b]))
@@ -98,44 +100,54 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, chun
 
     Each text travels once for each leader ``a`` it is compared with; a leader's partners are cut into chunks.
     """
+    pairs = written(pairs, "pairs")
     degree = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    dealt = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / chunk)).alias("chunk"))
+    dealt = skew_join(pairs, degree, "a", "n").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / chunk)).alias("chunk"))
     leaders = dealt.select(F.col("a").alias("sid"), F.col("a").alias("lead"), "chunk").distinct()
     members = dealt.select(F.col("b").alias("sid"), F.col("a").alias("lead"), "chunk").unionAll(leaders)
     wanted = written(members.join(reps, "sid").select("doc", "th", "sid", "lead", "chunk"), "wanted")
     texts = join_texts(docs.select("doc", "th", "text"), wanted, ["doc", "th"])
 
-    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("sid")
-        first = group[group["sid"] == key[0]]
-        out = []
-        if len(first):
-            mine = shingle_set(first["text"].iloc[0], size)
-            for sid, text in zip(group["sid"], group["text"]):
-                other = shingle_set(text, size)
-                both = len(np.intersect1d(mine, other, assume_unique=True))
-                if sid != key[0] and 7 * both >= 3 * (len(mine) + len(other)):
-                    out.append(sid)
-        return pd.DataFrame({"a": np.full(len(out), key[0], np.int64), "b": np.array(out, np.int64)})
-
-    return texts.groupBy("lead", "chunk").applyInPandas(compare, "a long, b long")
-
-
-def linked_groups(lists: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, component) from lists of sets, rows (key, sid, n, place, low), and a ``verify`` of (a, b) pairs.
+    def compare(batches: Iterable) -> Iterator[dict[str, list]]:
+        lead, mine = None, np.zeros(0, np.uint64)
+        for columns, texts in text_batches(batches):
+            a, b = [], []
+            for sid, own, text in zip(columns["sid"], columns["lead"], texts):
+                if sid == own:
+                    lead, mine = sid, shingle_set(text, size)
+                elif own == lead:
+                    other = shingle_set(text, size)
+                    both = len(np.intersect1d(mine, other, assume_unique=True))
+                    if 7 * both >= 3 * (len(mine) + len(other)):
+                        a.append(lead)
+                        b.append(sid)
+            yield {"a": a, "b": b}
+
+    # Leaders come first in their runs, so a task holds one leader's set and streams the others past it.
+    dealt = texts.repartition("lead", "chunk").sortWithinPartitions("lead", "chunk", F.col("sid") != F.col("lead"))
+    return map_arrow(dealt.select("sid", "lead", "text"), compare, "a long, b long")
+
+
+def linked_groups(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], spare_of: int) -> DataFrame:
+    """(node, component) from lists of sets, rows (key, sid, n, place), and a ``verify`` of (a, b) pairs.
 
     ``n``: the set's size; ``place``: the key's position in the set's order, -1 where positions say
-    nothing; ``low``: the least sid of the list.
+    nothing. Linked sets share 1 + n // ``spare_of`` placed keys, n being the smaller size.
     """
-    # Round one: each set against the leader that most of its lists have.
-    stars = lists.where("sid <> low").groupBy(F.col("low").alias("a"), F.col("sid").alias("b")).agg(F.count("*").alias("k"))
+    # Round one: each set against the leader that most of its lists have, if these are many. A list's leader is
+    # the member most of whose keys are shared: in a group of near copies, what the others were made
+    # from. A guess is enough here, since round two takes all that is left.
+    shared = lists.groupBy("sid").agg((F.count("*") / F.max("n")).alias("score"))
+    leaders = lists.select("key", "sid").join(shared, "sid").groupBy("key").agg(F.max(F.struct("score", "sid")).alias("t"), F.count("*").alias("m"))
+    led = skew_join(lists.select("key", "sid", "n"), leaders.select("key", F.col("t.sid").alias("lead"), "m"), "key", "m")
+    stars = led.where("sid <> lead").groupBy(F.col("lead").alias("a"), F.col("sid").alias("b")).agg(F.count("*").alias("k"), F.max("n").alias("n"))
     best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("k"), "a"))
-    stars = stars.withColumn("__r", best).where("__r = 1").select("a", "b")
+    stars = stars.where(F.col("k") * 12 >= F.col("n")).withColumn("__r", best).where("__r = 1").select("a", "b")
     first = written(verify(stars), "links")
     groups = written(components(first), "groups")
 
     # Round two: whatever shares a list but not a component.
-    placed = lists.drop("low").join(groups.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
+    placed = lists.join(groups.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
     tally = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
     major = tally.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("t"), F.count("*").alias("c")).where("c > 1").select("key", F.col("t.comp").alias("major"))
     mixed = written(placed.join(major, "key"), "mixed")
@@ -151,7 +163,9 @@ def linked_groups(lists: DataFrame, verify: Callable[[DataFrame], DataFrame]) ->
     )
     summed = met.groupBy("a", "b", "na", "nb").agg(F.count_if(F.col("pa") >= 0).alias("k"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.min("pa").alias("least"))
     most = F.col("k") + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
-    doubtful = summed.where((F.col("least") < 0) | (most * 7 >= (F.col("na") + F.col("nb")) * 3)).select("a", "b")
+    spare = 1 + F.floor(F.least("na", "nb") / spare_of)
+    may = (F.col("k") >= spare) & (most * 7 >= (F.col("na") + F.col("nb")) * 3)
+    doubtful = summed.where((F.col("least") < 0) | may).select("a", "b")
     second = written(verify(doubtful), "links")
     return written(components(first.unionByName(second)), "groups")
 
@@ -205,7 +219,7 @@ def near_classes(docs: DataFrame, size: int = 5, heavy_from: int = 16, most_freq
     size_of, place = F.floor(F.col("np") / (1 << 32)).cast("long"), (F.col("np") % (1 << 32) - 1).cast("int")
     lists = written(lists.select("key", "sid", size_of.alias("n"), place.alias("place"), "low").distinct(), "lists")
 
-    groups = linked_groups(lists, lambda pairs: verified(pairs, reps, docs, size))
+    groups = linked_groups(lists, lambda pairs: verified(pairs, reps, docs, size), SPARE)
     named = reps.join(groups.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least_doc = named.groupBy("component").agg(F.min("doc").alias("component_id"))
     named = written(named.join(least_doc, "component").select("sid", "copies", F.nullif("component_id", F.lit(LAST_ID)).alias("component_id")), "named")
