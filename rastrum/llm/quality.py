@@ -157,7 +157,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int) -> tuple[l
     return made, np.array([q for _, _, q in rows], float)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, most_rows: int = 8000, threshold: float = 0.3) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``."""
     spark = docs.sparkSession
     machine = spark.sparkContext.broadcast(fit(*training_rows(docs, labels, most_rows)))  # fixed size: buckets x (rank + 1)
@@ -172,7 +172,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, most_rows: int = 8000, thr
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, most_rows: int = 8000, threshold: float = 0.3) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with their own columns only."""
     spark = docs.sparkSession
     machine = spark.sparkContext.broadcast(fit(*training_rows(docs, labels, most_rows)))
