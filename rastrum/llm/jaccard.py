@@ -150,10 +150,18 @@ def linked_groups(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], sp
     placed = lists.join(groups.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
     tally = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
     major = tally.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("t"), F.count("*").alias("c")).where("c > 1").select("key", F.col("t.comp").alias("major"))
-    mixed = written(placed.join(major, "key"), "mixed")
-    minor = mixed.where("comp <> major").select("key", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "place", "comp")])
-    every = mixed.select("key", "major", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "place", "comp")])
+    # Only a mixed list's shingles can be shared with another component, so the others of a set's prefix
+    # bound what it has in common with any set there: ``before`` and ``after`` count what still can.
+    mixed = placed.join(major, "key")
+    own, entries = Window.partitionBy("sid", F.col("place") < 0), F.col("n") - F.ceil(F.col("n") * 0.75) + 1 + F.floor(F.col("n") / spare_of)
+    mixed = mixed.withColumns({"before": F.row_number().over(own.orderBy("place")) - 1, "__open": F.count("*").over(own) + F.col("n") - entries})
+    mixed = mixed.where((F.col("place") < 0) | (F.col("__open") * 4 >= F.col("n") * 3))
+    mixed = written(mixed.withColumn("after", F.col("__open") - F.col("before") - 1).drop("__open"), "mixed")
+    minor = mixed.where("comp <> major").select("key", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "place", "comp", "before", "after")])
+    every = mixed.select("key", "major", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "place", "comp", "before", "after")])
+    reach = F.least("before_a", "before_b") + 1 + F.least("after_a", "after_b")
     fits = (F.col("n_a") * 4 >= F.col("n_b") * 3) & (F.col("n_b") * 4 >= F.col("n_a") * 3)
+    fits &= (F.col("place_a") < 0) | (F.col("place_b") < 0) | (reach * 7 >= (F.col("n_a") + F.col("n_b")) * 3)
     once = (F.col("comp_b") == F.col("major")) | (F.col("sid_a") < F.col("sid_b"))
     met = minor.join(every, "key").where((F.col("comp_a") != F.col("comp_b")) & fits & once)
     a_first = F.col("sid_a") < F.col("sid_b")
