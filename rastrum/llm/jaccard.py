@@ -86,13 +86,16 @@ def signature(ordered: np.ndarray, boundary: int) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(keys), np.concatenate(places)
 
 
-def _ids_fit(ids: DataFrame) -> bool:
+def _ids_fit(ids: DataFrame, entries: str | None = None) -> bool:
+    """Whether a table may be broadcast: by its rows or, if ``entries`` names an array column, by the lengths of all its arrays."""
+    if entries:
+        return (ids.agg(F.sum(F.size(entries) + 1).alias("n")).first()["n"] or 0) <= MOST_BROADCAST
     return ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
 
 
-def join_texts(docs: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+def join_texts(docs: DataFrame, wanted: DataFrame, keys: list[str], entries: str | None = None) -> DataFrame:
     """Texts of some documents: ``wanted`` is broadcast if it was counted to be small, else both are shuffled."""
-    return docs.join(F.broadcast(wanted) if _ids_fit(wanted) else wanted.hint("shuffle_merge"), keys)
+    return docs.join(F.broadcast(wanted) if _ids_fit(wanted, entries) else wanted.hint("shuffle_merge"), keys)
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, chunk: int = 128) -> DataFrame:
