@@ -184,7 +184,7 @@ def near_classes(docs: DataFrame, size: int = 5, heavy_from: int = 16, most_freq
     docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"), F.xxhash64("text").alias("th"))
     seen = written(frequent_shingles(docs, size), "frequent")
     least = max(heavy_from, frequent_threshold(seen, most_frequent))
-    common = seen.where(F.col("n") >= least).toPandas()  # at most most_frequent rows
+    common = seen.where(F.col("n") >= least).toArrow()  # at most most_frequent rows
     tokens = common["token"].to_numpy().view(np.uint64)
     order = np.argsort(tokens)
     tokens, ranks = tokens[order], np.clip(np.log2(common["n"].to_numpy()[order] + 1) * 2, 1, 62).astype(np.uint64)

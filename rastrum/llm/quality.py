@@ -151,8 +151,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int) -> tuple[l
             yield {"quality": columns["quality"], "index": [i.astype("<i4").tobytes() for i, _ in made], "x": [x.astype("<f4").tobytes() for _, x in made]}
 
     joined = docs.select("doc_id", "text", "n_chars").join(F.broadcast(known), "doc_id")  # at most about most_rows rows
-    got = map_arrow(joined, run, "quality int, index binary, x binary").toPandas()
-    rows = sorted(zip(got["index"], got["x"], got["quality"]))
+    got = map_arrow(joined, run, "quality int, index binary, x binary").toArrow()
+    rows = sorted(zip(*(got[c].to_pylist() for c in ("index", "x", "quality"))))
     made = [(np.frombuffer(i, "<i4").astype(np.int64), np.frombuffer(x, "<f4").astype(float)) for i, x, _ in rows]
     return made, np.array([q for _, _, q in rows], float)
 
