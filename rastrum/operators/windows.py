@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rastrum.functions.borders import Border, Fill, Inner, Pad, border
+from rastrum.functions.borders import Border, Fill, Inner, Pad, border, source_index
 from rastrum.operators.padding import pad_raster
 from rastrum.operators.stencil import along, cropped, scatter
 from rastrum.raster import Axis, Raster
@@ -55,6 +55,11 @@ def aggregates(name: str, q: float | None) -> Callable[[Column, Column], Column]
         "quantile": lambda v, o: F.percentile(v, F.lit(q)),
         "first": lambda v, o: F.min_by(v, o),
         "count": lambda v, o: F.count(v),
+        "min": lambda v, o: F.min(v),
+        "max": lambda v, o: F.max(v),
+        "sum": lambda v, o: F.sum(v),
+        "mean": lambda v, o: F.avg(v),
+        "extrema": lambda v, o: F.struct(F.min(v).alias("min"), F.max(v).alias("max")),
         "std": lambda v, o: F.stddev_samp(v),
     }
     if name not in known:
@@ -73,6 +78,7 @@ def map_window(
     returns: str = "double",
     python: bool = False,
     even: bool = False,
+    local_border: bool = False,
 ) -> Raster:
     """``function`` of the window around every pixel.
 
@@ -80,7 +86,9 @@ def map_window(
     (``q``), first, count, std. A callable of (value, place) columns is an aggregate of
     your own; with ``python`` it gets the window as a flat numpy array, first dimension
     fastest, in Arrow batches. Separable names take one window stage per dimension. ``indices``: only these, numbered
-    from 0 in the result where the step isn't 1.
+    from 0 in the result where the step isn't 1. With ``local_border`` a Pad style continues the part of the
+    window that lies inside the image, not the image; the window must hold its centre then, and reflect
+    fails where only one pixel is inside.
     """
     by = border(by)
     if not isinstance(by, (Pad, Fill, Inner)):
@@ -88,6 +96,11 @@ def map_window(
     if by.sizes and not isinstance(by, Inner):
         raise ValueError("the window decides the size of its border")
     span = spans(window, len(raster.axes), even or function == "extrema")
+    if local_border:
+        if not isinstance(by, Pad) or any(low > 0 or high < 0 for low, high in span):
+            raise ValueError("a local border takes a Pad style and a window around its centre")
+        out = _whole(raster, function, span, list(raster.axes), q, returns, python, by.style)
+        return strided(out, indices) if indices else out
     need = tuple((max(0, -low), max(0, high)) for low, high in span)
     target = [a.grown(-low, -high) for a, (low, high) in zip(raster.axes, need)] if isinstance(by, Inner) else list(raster.axes)
     padded = raster if isinstance(by, Inner) else pad_raster(raster, by, need) if any(s for p in need for s in p) else raster
@@ -118,13 +131,35 @@ def _by_dimension(raster: Raster, values: dict[str, Callable], span: list[Span],
     return raster
 
 
-def _whole(raster: Raster, function, span: list[Span], target: list[Axis], q, returns: str, python: bool) -> Raster:
+def _continued(raster: Raster, style: str, span: list[Span]):
+    """Like ``scatter``, with every window continued by ``style`` from its own part inside the image.
+
+    What a place takes its value from lies in the same window, so each pixel knows its users without a join.
+    """
+    df, step = raster.df.withColumn("__o", F.lit(0)), 1
+    for a, (low, high) in zip(raster.axes, span):
+        here, first, last = F.col(a.name), F.lit(a.first), a.last_column()
+        every = range(low, high + 1)
+        uses = F.array(*[F.struct((here - e).cast("int").alias("to"), F.lit(d).alias("d")) for e in every for d in every])
+
+        def reads(use: Column) -> Column:
+            to = use["to"]
+            source = source_index(style, to + use["d"], F.greatest(first, to + low), F.least(last, to + high))
+            return F.when(a.contains(to), source == here).otherwise(False)
+
+        df = df.withColumn("__use", F.explode(F.filter(uses, reads)))
+        df = df.withColumns({a.name: F.col("__use.to"), "__o": F.col("__o") + (F.col("__use.d") - low) * step}).drop("__use")
+        step *= high - low + 1
+    return df, [*raster.group, *raster.names]
+
+
+def _whole(raster: Raster, function, span: list[Span], target: list[Axis], q, returns: str, python: bool, local: str | None = None) -> Raster:
     sizes = [high - low + 1 for low, high in span]
     steps = np.concatenate([[1], np.cumprod(sizes)[:-1]]).astype(int)
     taps = []
     for at in product(*[range(low, high + 1) for low, high in span]):
         taps.append((at, {"__o": int(sum((a - low) * s for a, (low, _), s in zip(at, span, steps)))}))
-    df, group = scatter(raster, taps, target)
+    df, group = _continued(raster, local, span) if local else scatter(raster, taps, target)
     v, o = F.col(raster.value), F.col("__o")
     if python:
         @F.pandas_udf(returns)

@@ -162,6 +162,11 @@ add("mapwin_extrema", lambda spark, d: extrema(spark, d),
 add("mapwin_python", lambda spark, d: rounded(map_window(S.img8(spark, d), lambda w: float(np.ptp(w)), (3, 3), "circular", python=True)),
     O.fir(O.IMG8, SPAN33, "circular", D8, KEY, out="round(max(b.v) - min(b.v), 6) + 0.0"))
 add("mapwin_3d_sum", lambda spark, d: rounded(map_window(S.vol4(spark, d), "sum", (1, 3, 3), "replicate")), O.fir(O.VOL4, O.window_kernel([(0, 0), (-1, 1), (-1, 1)]), "replicate", D4, KEY, out="round(sum(b.v), 6) + 0.0"))
+LOW, HIGH = "greatest(0, a.i - 2)", "least(a.n - 1, a.i + 2)"
+for style in ("circular", "symmetric"):
+    add(f"mapwin_local_{style}", lambda spark, d, style=style: rounded(map_window(S.signals(spark, d), "sum", 5, style, local_border=True)),
+        f"with px as ({O.SIGNALS}), kr(d0) as (values (-2), (-1), (0), (1), (2)) select a.user_id, a.i, round(sum(b.v), 6) + 0.0 as o from px a cross join kr join px b "
+        f"on {SIG_ON}{O.index(style, '(a.i + kr.d0)', f'{HIGH} - {LOW} + 1', LOW)} group by all")
 
 
 def extrema(spark: SparkSession, d: str) -> DataFrame:

@@ -21,7 +21,7 @@ SHIPMENTS = (
 )
 
 
-def index(style: str, at: str, n: int | str, first: int = 0) -> str:
+def index(style: str, at: str, n: int | str, first: int | str = 0) -> str:
     p = f"({at} - {first})"
     mod = lambda m: f"((({p} % ({m})) + ({m})) % ({m}))"
     if style == "replicate":

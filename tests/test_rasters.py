@@ -193,3 +193,22 @@ def test_one_exchange_for_a_separable_filter_of_many_images(spark):
     df = filter_raster(img8(spark, "/root/testdata/sf0.001"), K.gaussian((1, 1))).df
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("style", ["circular", "symmetric"])
+def test_windows_with_local_borders(spark, style):
+    image = np.random.default_rng(5).normal(size=(5, 6))
+    span = ((-1, 1), (-3, 1))
+
+    def sources(n, at, low, high):
+        first, last = max(0, at + low), min(n - 1, at + high)
+        line = np.pad(np.arange(first, last + 1), (first - at - low, at + high - last), mode=MODES[style])
+        return line
+
+    wanted = [[image[np.ix_(sources(5, i, *span[0]), sources(6, j, *span[1]))] for j in range(6)] for i in range(5)]
+    r = raster(spark, image)
+    for name, f in {"sum": np.sum, "max": np.max, "first": lambda w: w[0, 0], "median": np.median}.items():
+        got = array(map_window(r, name, span, style, local_border=True))
+        assert np.allclose(got, [[f(w) for w in row] for row in wanted])
+    with pytest.raises(ValueError):
+        map_window(r, "sum", 3, Fill(0.0), local_border=True)
