@@ -70,13 +70,18 @@ def light_boundary(list_length: float) -> int:
     return n
 
 
+def prefix_length(n: int) -> int:
+    """How many of a set's first shingles are entered in lists."""
+    return n - -(-3 * n // 4) + 1 + n // SPARE
+
+
 def signature(ordered: np.ndarray, boundary: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys and positions of a set in the global order; the position is -1 for keys of two shingles."""
     n = len(ordered)
     slack = n - -(-3 * n // 4)
     keys, places = [], []
     if n > boundary or 4 * n >= 3 * boundary or n < 2:
-        entries = slack + 1 + n // SPARE
+        entries = prefix_length(n)
         keys.append(ordered[:entries])
         places.append(np.arange(entries))
     if 2 <= n <= boundary:
@@ -129,10 +134,10 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, chun
 
 
 def linked_groups(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], spare_of: int) -> DataFrame:
-    """(node, component) from lists of sets, rows (key, sid, n, place), and a ``verify`` of (a, b) pairs.
+    """(node, component) from lists of sets, rows (key, sid, n, place, last), and a ``verify`` of (a, b) pairs.
 
     ``n``: the set's size; ``place``: the key's position in the set's order, -1 where positions say
-    nothing. Linked sets share 1 + n // ``spare_of`` placed keys, n being the smaller size.
+    nothing; ``last``: where the set's last placed key stands in the order of all keys. Linked sets share 1 + n // ``spare_of`` placed keys, n being the smaller size.
     """
     # Round one: each set against the leader that most of its lists have, if these are many. A list's leader is
     # the member most of whose keys are shared: in a group of near copies, what the others were made
@@ -150,16 +155,18 @@ def linked_groups(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], sp
     placed = lists.join(groups.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
     tally = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
     major = tally.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("t"), F.count("*").alias("c")).where("c > 1").select("key", F.col("t.comp").alias("major"))
-    # Only a mixed list's shingles can be shared with another component, so the others of a set's prefix
-    # bound what it has in common with any set there: ``before`` and ``after`` count what still can.
+    # What two sets share before a common key is in mixed lists of both: ``before`` counts these. What they share after
+    # it is in mixed lists too (``after``, with all beyond the prefix) for the set whose prefix ends first; the other's
+    # prefix goes on beyond its partner's, where a shared shingle is in no list of both: its positions alone bound it.
     mixed = placed.join(major, "key")
     own, entries = Window.partitionBy("sid", F.col("place") < 0), F.col("n") - F.ceil(F.col("n") * 0.75) + 1 + F.floor(F.col("n") / spare_of)
     mixed = mixed.withColumns({"before": F.row_number().over(own.orderBy("place")) - 1, "__open": F.count("*").over(own) + F.col("n") - entries})
-    mixed = mixed.where((F.col("place") < 0) | (F.col("__open") * 4 >= F.col("n") * 3))
     mixed = written(mixed.withColumn("after", F.col("__open") - F.col("before") - 1).drop("__open"), "mixed")
-    minor = mixed.where("comp <> major").select("key", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "place", "comp", "before", "after")])
-    every = mixed.select("key", "major", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "place", "comp", "before", "after")])
-    reach = F.least("before_a", "before_b") + 1 + F.least("after_a", "after_b")
+    minor = mixed.where("comp <> major").select("key", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "place", "last", "comp", "before", "after")])
+    every = mixed.select("key", "major", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "place", "last", "comp", "before", "after")])
+    rest_a = F.when(F.col("last_a") <= F.col("last_b"), F.col("after_a")).otherwise(F.col("n_a") - 1 - F.col("place_a"))
+    rest_b = F.when(F.col("last_b") <= F.col("last_a"), F.col("after_b")).otherwise(F.col("n_b") - 1 - F.col("place_b"))
+    reach = F.least("before_a", "before_b") + 1 + F.least(rest_a, rest_b)
     fits = (F.col("n_a") * 4 >= F.col("n_b") * 3) & (F.col("n_b") * 4 >= F.col("n_a") * 3)
     fits &= (F.col("place_a") < 0) | (F.col("place_b") < 0) | (reach * 7 >= (F.col("n_a") + F.col("n_b")) * 3)
     once = (F.col("comp_b") == F.col("major")) | (F.col("sid_a") < F.col("sid_b"))
@@ -195,10 +202,10 @@ def near_classes(docs: DataFrame, size: int = 5, heavy_from: int = 16, most_freq
         tokens, ranks, boundary = shared.value
         known: set[int] = set()
         for columns, texts in text_batches(batches):
-            out: dict[str, list] = {"n": [], "sid": [], "keys": [], "places": []}
+            out: dict[str, list] = {"n": [], "sid": [], "keys": [], "places": [], "last": []}
             for t in texts:
                 s = shingle_set(t, size)
-                sid, keys, places = None, None, None
+                sid, keys, places, last = None, None, None, None
                 if len(s):
                     sid = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
                     if sid not in known:
@@ -209,23 +216,27 @@ def near_classes(docs: DataFrame, size: int = 5, heavy_from: int = 16, most_freq
                         if len(tokens):
                             at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
                             rank = np.where(tokens[at] == s, ranks[at], rank)
-                        keys, places = signature(s[np.argsort(rank, kind="stable")], boundary)
+                        order = np.argsort(rank, kind="stable")
+                        keys, places = signature(s[order], boundary)
+                        end = order[prefix_length(len(s)) - 1]
+                        last = int(rank[end]) << 57 | int(s[end]) >> 7
                         keys = keys.view(np.int64)
                 out["n"].append(len(s))
                 out["sid"].append(sid)
                 out["keys"].append(keys)
                 out["places"].append(places)
+                out["last"].append(last)
             yield columns | out
 
-    sets = written(map_arrow(docs, run, "doc_id long, doc long, th long, n long, sid long, keys array<long>, places array<int>"), "sets")
+    sets = written(map_arrow(docs, run, "doc_id long, doc long, th long, n long, sid long, keys array<long>, places array<int>, last long"), "sets")
     reps = sets.where("sid is not null").groupBy("sid").agg(F.min(F.struct("doc", "th")).alias("r"), F.count("*").alias("copies"))
     reps = written(reps.select("sid", "r.doc", "r.th", "copies"), "reps")
-    entries = sets.where("keys is not null").select("sid", "n", F.explode(F.arrays_zip("keys", "places")).alias("e"))
-    entries = entries.select(F.col("e.keys").alias("key"), "sid", (F.col("n") * (1 << 32) + F.col("e.places") + 1).alias("np"))
+    entries = sets.where("keys is not null").select("sid", "n", "last", F.explode(F.arrays_zip("keys", "places")).alias("e"))
+    entries = entries.select(F.col("e.keys").alias("key"), "sid", "last", (F.col("n") * (1 << 32) + F.col("e.places") + 1).alias("np"))
     w = Window.partitionBy("key")
     lists = entries.withColumns({"low": F.min("sid").over(w), "high": F.max("sid").over(w)}).where("low <> high")
     size_of, place = F.floor(F.col("np") / (1 << 32)).cast("long"), (F.col("np") % (1 << 32) - 1).cast("int")
-    lists = written(lists.select("key", "sid", size_of.alias("n"), place.alias("place"), "low").distinct(), "lists")
+    lists = written(lists.select("key", "sid", size_of.alias("n"), place.alias("place"), "last", "low").distinct(), "lists")
 
     groups = linked_groups(lists, lambda pairs: verified(pairs, reps, docs, size), SPARE)
     named = reps.join(groups.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))

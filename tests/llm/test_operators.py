@@ -138,6 +138,34 @@ def test_jaccard(odd, none, docs):
     assert near_classes(none).count() == 0
 
 
+def brute_components(sets):
+    """The least index that each set reaches by links of Jaccard 0.75 or more."""
+    least = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] & sets[b] and 7 * len(sets[a] & sets[b]) >= 3 * (len(sets[a]) + len(sets[b])):
+                x, y = sorted((least[a], least[b]))
+                least = [x if c == y else c for c in least]
+    return least
+
+
+def test_jaccard_growing(spark):
+    rng = np.random.default_rng(8)
+    texts = []
+    for chain in range(60):
+        own, low, high, n = [f"c{chain}w{k}" for k in range(1200)], 600, 600, int(rng.integers(40, 110))
+        while n < 420:
+            grown = n + 4 - (high - low)
+            front = int(rng.integers(0, grown + 1))
+            low, high = low - front, high + grown - front
+            texts.append(" ".join(own[low:high]))
+            n = n * 4 // 3
+    order = rng.permutation(len(texts)).tolist()
+    least = brute_components([set(shingle_set(texts[i]).tolist()) for i in order])
+    docs = spark.createDataFrame([(k, texts[i]) for k, i in enumerate(order)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_classes(docs).collect()} == dict(enumerate(least))
+
+
 def test_bpe(odd, none, docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     own, library = WordBpe(path), Tokenizer.from_file(path)
