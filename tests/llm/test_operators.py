@@ -227,6 +227,23 @@ def test_passages(spark, odd, none):
     assert bands_for(0.98) == 3
 
 
+def test_near_passages(spark):
+    from rastrum.llm.words import word_hashes
+
+    rng = np.random.default_rng(6)
+    words = np.array([f"n{k}" for k in range(8000)])
+    words = words[np.argsort(word_hashes(" ".join(words).encode())[2])[::-1]]  # falling hashes: no cut inside
+    rows = []
+    for small, large in [(10, 13), (11, 14), (12, 16), (14, 18), (15, 20), (18, 24)] * 5:
+        own = words[np.sort(rng.choice(len(words), large + 4, replace=False))]
+        rows += [(2 * len(rows), " ".join(own)), (2 * len(rows) + 1, " ".join(own[large - small :]))]
+    sets = [set(shingle_set(t).tolist()) for _, t in rows]
+    least = brute_components(sets)
+    assert all(least[i + 1] == i for i in range(0, len(rows), 2))
+    got = {r.doc_id: r for r in dedup_passages(spark.createDataFrame(rows, "doc_id long, text string"), recall=0.9999, least_run=5).collect()}
+    assert [got[i].kept_in for i, _ in rows] == [[] if least[k] == k else [rows[least[k]][0]] for k, (i, _) in enumerate(rows)]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
