@@ -227,6 +227,39 @@ def test_passages(spark, odd, none):
     assert bands_for(0.98) == 3
 
 
+def laid_out(words, width):
+    return "\n".join(" ".join(words[k : k + width]) for k in range(0, len(words), width))
+
+
+def test_passage_layouts(spark):
+    from rastrum.llm.passages import Cut
+
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    shares = {}
+    for widths in [(1, 1), (4, 4), (6, 6), (10, 13), (60, 12), (60, 60)]:
+        shares[widths] = []
+        for _ in range(40):
+            passage, found = [word() for _ in range(60)], []
+            for width in widths:
+                own = [word() for _ in range(80)]
+                found.append(Cut(f"{laid_out(own[:40], 8)}\n{laid_out(passage, width)}\n{laid_out(own[40:], 8)}"))
+            known = set(found[0].classes().tolist())
+            shares[widths].append(sum(int(h - l) for c, l, h in zip(found[1].classes().tolist(), found[1].low, found[1].high) if c in known) / 60)
+    print({w: (round(float(np.mean(s)), 3), round(float(np.mean(np.array(s) < 1 / 3)), 3)) for w, s in shares.items()})
+    assert all(np.mean(s) > 0.6 for s in shares.values()) and np.mean(shares[60, 60]) == 1
+    for text in ["", "a b c d", "a " * 5, "x " * 203, "a b c\nd e\n" * 30, laid_out([word() for _ in range(300)], 25) + "\nend here"]:
+        cut = Cut(text)
+        assert (cut.low[1:] >= cut.high[:-1]).all() and (cut.high - cut.low >= 5).all()
+        assert sum(cut.high - cut.low) >= len(text.split()) - (4 if len(text.split()) < 5 or text.endswith("end here") else 0)
+    rows = []
+    for i, width in enumerate([1, 4, 6, 13, 10, 60]):
+        own = [word() for _ in range(120)]
+        rows.append((i, f"{laid_out(own[:50], 8)}\n{laid_out(passage, width)}\n{laid_out(own[50:], 8)}"))
+    out = {r.doc_id: r for r in dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0].text == rows[0][1] and all(out[i].kept_in == [0] and out[i].removed_words >= 25 for i in range(1, 6))
+
+
 def test_near_passages(spark):
     from rastrum.llm.words import word_hashes
 
