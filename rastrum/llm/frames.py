@@ -8,30 +8,65 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+LAST_ID = (1 << 63) - 1
+
+
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many "_" before them as it takes to differ from all columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (tests)."""
+    """The folder that all executors share. Only a session on one machine may leave it unnamed (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(path)
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage and outlives lost executors."""
+def _files(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop path and its file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` as a Parquet table in the shared folder, and its path. The folder goes when the session's JVM ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+    where, files = _files(spark, root)
+    files.deleteOnExit(where)
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts lineage and outlives lost executors."""
+    return stored(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    where, files = _files(spark, path)
+    files.delete(where, True)
 
 
 def map_arrow(
@@ -44,8 +79,6 @@ def map_arrow(
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
-    # Rows here are whole documents: small batches bound what a Python worker holds at a time.
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in function(batches):
@@ -55,17 +88,17 @@ def map_arrow(
     return df.mapInArrow(run, schema)
 
 
-def text_batches(batches: Iterable[pa.RecordBatch], most_chars: int = 4_000_000) -> Iterator[tuple[dict[str, list], list[str]]]:
-    """Slices of Arrow batches (column lists and texts, null as "") of bounded text size."""
+def text_batches(batches: Iterable[pa.RecordBatch], most_bytes: int = 4_000_000) -> Iterator[tuple[dict[str, list], list[str]]]:
+    """Slices of Arrow batches (column lists and texts, null as "") of bounded text size, or of one longer text."""
     for batch in batches:
-        columns = batch.to_pydict()
-        texts = [t or "" for t in columns.pop("text")]
-        low, size = 0, 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= most_chars or i + 1 == len(texts):
-                yield {k: v[low : i + 1] for k, v in columns.items()}, texts[low : i + 1]
-                low, size = i + 1, 0
+        if not batch.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("text"))), 0).to_numpy()
+        lot = np.cumsum(sizes + 64, dtype=np.int64) // most_bytes
+        edges = [0, *(np.flatnonzero(np.diff(lot)) + 1).tolist(), batch.num_rows]
+        for low, high in zip(edges, edges[1:]):
+            columns = batch.slice(low, high - low).to_pydict()
+            yield columns, [t or "" for t in columns.pop("text")]
 
 
 def crc_mod(doc_id: str | Column, mod: int) -> Column:
@@ -74,23 +107,20 @@ def crc_mod(doc_id: str | Column, mod: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
-def skew_join(big: DataFrame, small: DataFrame, key: str, count: str, how: str = "inner", share: int = 2000) -> DataFrame:
+def skew_join(big: DataFrame, small: DataFrame, key: str | list[str], count: str, how: str = "inner", share: int = 2000) -> DataFrame:
     """Join on ``key`` where ``small`` has unique keys and knows in ``count`` how many rows of ``big`` each has.
 
-    Keys with at least 1/``share`` of all counted rows are at most ``share`` many, so that part is
-    broadcast whatever the size of the data; the rest goes through an ordinary shuffled join.
+    A key with more than 1/``share`` of all counted rows is dealt over as many parts as it has such shares, by a hash
+    of the whole row; its row of ``small`` goes to each part. There are at most ``share`` such keys, so the list of
+    them is broadcast at every size. ``big`` is read once.
     """
+    keys = [key] if isinstance(key, str) else key
     total = small.agg(F.sum(count).alias("n")).first()["n"] or 0
-    hot = F.col(count) * F.lit(share) >= F.lit(total)
-    first = F.broadcast(small.where(hot).withColumn("__hot", F.lit(True)))
-    marked = big.join(first, key, "left")
-    out = small.columns
-    in_hot = marked.where(F.col("__hot")).drop("__hot")
-    rest = marked.where(F.col("__hot").isNull()).drop("__hot", *[c for c in out if c != key])
-    cold = rest.join(small.where(~hot), key, how)
-    if how == "left_semi":
-        return in_hot.select(*rest.columns).unionByName(cold)
-    return in_hot.unionByName(cold.select(*in_hot.columns))
+    parts = F.greatest(F.ceil(F.col(count) * F.lit(share) / F.lit(max(total, 1))), F.lit(1))
+    hot = small.where(parts > 1).select(*keys, parts.alias("__parts"))
+    dealt = big.join(F.broadcast(hot), keys, "left").withColumn("__part", F.pmod(F.xxhash64(*big.columns), F.coalesce("__parts", F.lit(1))))
+    spread = small.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return dealt.drop("__parts").join(spread, [*keys, "__part"], how).drop("__part")
 
 
 def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[dict[str, list]]:
@@ -121,19 +151,23 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of (a, b) long edges by alternating large-star and small-star steps.
 
     Returns (node, component) for every node that occurs in an edge; component is the least node.
-    Every round is one table in the shared folder; nothing is gathered on the driver but counts.
+    Every round is one table in the shared folder; nothing is gathered on the driver but counts. The root of
+    a large component has as many edges as members, so its key is dealt over many parts.
     """
-    stars = written(map_arrow(edges.select("a", "b").where("a <> b"), _forest, "a long, b long"), "edges")
+    spark = edges.sparkSession
+    stars, path = stored(map_arrow(edges.select("a", "b").where("a <> b"), _forest, "a long, b long"), "edges")
     seen = None
     for _ in range(most_rounds):
         both = stars.select("a", "b").unionAll(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n")).where("n > 0")
+        large = skew_join(both.where("b > a"), least.select("a", F.least("a", "m").alias("m"), "n"), "a", "n")
+        large = large.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(down.select("a", F.col("m").alias("b"))).distinct()
-        stars = written(small, "edges")
-        now = stars.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        new, new_path = stored(small.unionAll(down.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        now = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+        discard(spark, path)
+        stars, path = new, new_path
         if now == seen:
             break
         seen = now

@@ -26,11 +26,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rastrum.llm.frames import components, map_arrow, skew_join, table, text_batches, written
+from rastrum.llm.frames import LAST_ID, components, map_arrow, skew_join, table, text_batches, written
 from rastrum.llm.lm import frequent_threshold
 from rastrum.llm.words import lowered, mix, shingle_hashes, word_hashes
 
-LAST_ID = (1 << 63) - 1
 MOST_BROADCAST = 400_000
 #: A set of n shingles enters 1 + n // SPARE more of them in lists than it could miss, so linked sets share that many.
 SPARE = 24

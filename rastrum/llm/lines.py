@@ -19,9 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrum.llm.frames import skew_join, table, written
+from rastrum.llm.frames import LAST_ID, skew_join, table, written
 
-LAST_ID = (1 << 63) - 1
 
 
 def _key(text: str | Column) -> Column:
