@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -23,6 +24,7 @@ import ahocorasick
 import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from rastrum.llm.frames import map_arrow, table, text_batches
 
@@ -36,12 +38,41 @@ def byte_characters() -> list[str]:
     return [chr(b if b in plain else next(others)) for b in range(256)]
 
 
+#: What the tokenizer file asks for, but for spaces, which only separate.
+NORMAL = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+
+
+def plain_normal(text: str) -> str:
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # capital sigma lowers by itself, whatever follows
+
+
+def letter_differences() -> str:
+    """Code points that the tokenizer library lowers otherwise than Python or classes otherwise than the pattern
+    module, each before a stand-in of the library's class. All know different versions of the character tables; every code point is compared.
+    """
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    theirs, ours = {}, {}
+    for kind, sign in ((r"\p{L}", "b"), (r"\p{N}", "0"), (r"\s", " ")):
+        found = pre_tokenizers.Split(Regex(f"[^{kind}]+"), "removed").pre_tokenize_str(every)
+        for c in "".join(piece for piece, _ in found):
+            theirs[c] = sign
+        for c in regex.findall(kind, every):
+            ours[c] = sign
+    lines = "\n".join(every)
+    lowered = zip(NORMAL.normalize_str(lines).split("\n"), plain_normal(lines).split("\n"), lines.split("\n"))
+    apart = {c for a, b, c in lowered if a != b} | {c for c in every if theirs.get(c) != ours.get(c)}
+    return "".join(c + theirs.get(c, "§") for c in sorted(apart) if c)
+
+
 class WordBpe:
     """Encoder and decoder of a tokenizers file: word BPE over byte characters with a word-end suffix."""
 
-    def __init__(self, path: str, most_cached: int = 400_000):
+    def __init__(self, path: str, differences: str | None = None, most_cached: int = 400_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        differences = letter_differences() if differences is None else differences
+        self.stand_ins = dict(zip(map(ord, differences[::2]), differences[1::2]))
+        self.has_stand_ins = re.compile("[" + "".join(map(re.escape, differences[::2])) + "]").search if differences else lambda text: None
         model, suffix = spec["model"], spec["model"]["end_of_word_suffix"]
         vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -160,10 +191,16 @@ class WordBpe:
         for k, part in enumerate(parts):
             if k % 2:
                 out.append(np.array([self.special[part]], "<u4").tobytes())
+            elif part and not part.isascii() and self.has_stand_ins(part):
+                part = NORMAL.normalize_str(part)
+                at = 0
+                for piece in self.pieces(part.translate(self.stand_ins)):  # of the same lengths, space between left out
+                    while part[at].isspace():
+                        at += 1
+                    out.append(self.encode_piece(part[at : at + len(piece)]))
+                    at += len(piece)
             elif part:
-                if not part.isascii():
-                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # capital sigma lowers by itself, whatever follows
-                out.extend(map(self.encode_piece, self.pieces(part.lower())))
+                out.extend(map(self.encode_piece, self.pieces(part.lower() if part.isascii() else plain_normal(part))))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
@@ -179,15 +216,16 @@ class WordBpe:
 
 
 @lru_cache(maxsize=2)
-def word_bpe(path: str) -> WordBpe:
-    return WordBpe(path)
+def word_bpe(path: str, differences: str) -> WordBpe:
+    return WordBpe(path, differences)
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids binary, decoded string) of every text; no shuffle."""
+    differences = letter_differences()
 
     def run(batches: Iterable) -> Iterator[dict[str, list]]:
-        bpe = word_bpe(path)
+        bpe = word_bpe(path, differences)
         for columns, texts in text_batches(batches):
             ids = [bpe.encode(t) for t in texts]
             yield {"doc_id": columns["doc_id"], "ids": ids, "decoded": [bpe.decode(i).decode() for i in ids]}
@@ -197,9 +235,10 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     """Digests of encode_documents, made where the ids are, so that they never leave the worker."""
+    differences = letter_differences()
 
     def run(batches: Iterable) -> Iterator[dict[str, list]]:
-        bpe = word_bpe(path)
+        bpe = word_bpe(path, differences)
         for columns, texts in text_batches(batches):
             ids = [bpe.encode(t) for t in texts]
             yield {

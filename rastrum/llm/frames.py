@@ -108,16 +108,16 @@ def crc_mod(doc_id: str | Column, mod: int) -> Column:
 
 
 def skew_join(big: DataFrame, small: DataFrame, key: str | list[str], count: str, how: str = "inner", share: int = 2000) -> DataFrame:
-    """Join on ``key`` where ``small`` has unique keys and knows in ``count`` how many rows of ``big`` each has.
+    """Join on ``key`` where ``small`` knows in ``count``, alike in all rows of a key, how many rows of ``big`` the key has.
 
     A key with more than 1/``share`` of all counted rows is dealt over as many parts as it has such shares, by a hash
-    of the whole row; its row of ``small`` goes to each part. There are at most ``share`` such keys, so the list of
+    of the whole row; its rows of ``small`` go to each part. There are at most ``share`` such keys, so the list of
     them is broadcast at every size. ``big`` is read once.
     """
     keys = [key] if isinstance(key, str) else key
-    total = small.agg(F.sum(count).alias("n")).first()["n"] or 0
+    total = small.select(*keys, count).distinct().agg(F.sum(count).alias("n")).first()["n"] or 0
     parts = F.greatest(F.ceil(F.col(count) * F.lit(share) / F.lit(max(total, 1))), F.lit(1))
-    hot = small.where(parts > 1).select(*keys, parts.alias("__parts"))
+    hot = small.where(parts > 1).select(*keys, parts.alias("__parts")).distinct()
     dealt = big.join(F.broadcast(hot), keys, "left").withColumn("__part", F.pmod(F.xxhash64(*big.columns), F.coalesce("__parts", F.lit(1))))
     spread = small.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     return dealt.drop("__parts").join(spread, [*keys, "__part"], how).drop("__part")

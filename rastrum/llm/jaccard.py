@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rastrum.llm.frames import LAST_ID, components, map_arrow, skew_join, table, text_batches, written
+from rastrum.llm.frames import LAST_ID, components, map_arrow, own_names, skew_join, table, text_batches, written
 from rastrum.llm.lm import frequent_threshold
 from rastrum.llm.words import lowered, mix, shingle_hashes, word_hashes
 
@@ -145,23 +145,23 @@ def linked_groups(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], sp
     leaders = lists.select("key", "sid").join(shared, "sid").groupBy("key").agg(F.max(F.struct("score", "sid")).alias("t"), F.count("*").alias("m"))
     led = skew_join(lists.select("key", "sid", "n"), leaders.select("key", F.col("t.sid").alias("lead"), "m"), "key", "m")
     stars = led.where("sid <> lead").groupBy(F.col("lead").alias("a"), F.col("sid").alias("b")).agg(F.count("*").alias("k"), F.max("n").alias("n"))
-    best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("k"), "a"))
-    stars = stars.where(F.col("k") * 12 >= F.col("n")).withColumn("__r", best).where("__r = 1").select("a", "b")
+    stars = stars.where(F.col("k") * 12 >= F.col("n")).groupBy("b").agg(F.max(F.struct("k", "a")).alias("t")).select("t.a", "b")
     first = written(verify(stars), "links")
     groups = written(components(first), "groups")
 
     # Round two: whatever shares a list but not a component.
     placed = lists.join(groups.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
     tally = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    major = tally.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("t"), F.count("*").alias("c")).where("c > 1").select("key", F.col("t.comp").alias("major"))
+    major = tally.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("t"), F.count("*").alias("c"), F.sum("m").alias("held"))
+    major = written(major.where("c > 1").select("key", F.col("t.comp").alias("major"), "held"), "major")
     # What two sets share before a common key is in mixed lists of both: ``before`` counts these. What they share after
     # it is in mixed lists too (``after``, with all beyond the prefix) for the set whose prefix ends first; the other's
     # prefix goes on beyond its partner's, where a shared shingle is in no list of both: its positions alone bound it.
-    mixed = placed.join(major, "key")
+    mixed = skew_join(placed, major, "key", "held")
     own, entries = Window.partitionBy("sid", F.col("place") < 0), F.col("n") - F.ceil(F.col("n") * 0.75) + 1 + F.floor(F.col("n") / spare_of)
     mixed = mixed.withColumns({"before": F.row_number().over(own.orderBy("place")) - 1, "__open": F.count("*").over(own) + F.col("n") - entries})
     mixed = written(mixed.withColumn("after", F.col("__open") - F.col("before") - 1).drop("__open"), "mixed")
-    minor = mixed.where("comp <> major").select("key", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "place", "last", "comp", "before", "after")])
+    minor = mixed.where("comp <> major").select("key", "held", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "place", "last", "comp", "before", "after")])
     every = mixed.select("key", "major", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "place", "last", "comp", "before", "after")])
     rest_a = F.when(F.col("last_a") <= F.col("last_b"), F.col("after_a")).otherwise(F.col("n_a") - 1 - F.col("place_a"))
     rest_b = F.when(F.col("last_b") <= F.col("last_a"), F.col("after_b")).otherwise(F.col("n_b") - 1 - F.col("place_b"))
@@ -169,7 +169,7 @@ def linked_groups(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], sp
     fits = (F.col("n_a") * 4 >= F.col("n_b") * 3) & (F.col("n_b") * 4 >= F.col("n_a") * 3)
     fits &= (F.col("place_a") < 0) | (F.col("place_b") < 0) | (reach * 7 >= (F.col("n_a") + F.col("n_b")) * 3)
     once = (F.col("comp_b") == F.col("major")) | (F.col("sid_a") < F.col("sid_b"))
-    met = minor.join(every, "key").where((F.col("comp_a") != F.col("comp_b")) & fits & once)
+    met = skew_join(every, minor, "key", "held").where((F.col("comp_a") != F.col("comp_b")) & fits & once)
     a_first = F.col("sid_a") < F.col("sid_b")
     pick = lambda x, y: F.when(a_first, F.col(x)).otherwise(F.col(y))
     met = met.select(
@@ -184,8 +184,15 @@ def linked_groups(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], sp
     return written(components(first.unionByName(second)), "groups")
 
 
-def near_classes(docs: DataFrame, size: int = 5, heavy_from: int = 16, most_frequent: int = 200_000) -> DataFrame:
+def near_classes(docs: DataFrame, size: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``; links at Jaccard 0.75 or more."""
+    named = classified(docs, size)
+    component = F.when(F.col("home").isNotNull(), F.nullif("home.doc", F.lit(LAST_ID))).otherwise(F.col("doc_id"))
+    return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def classified(docs: DataFrame, size: int, heavy_from: int = 16, most_frequent: int = 200_000) -> DataFrame:
+    """(doc_id, doc, th, n, home) of every row: the set's size, and (doc, th) of its group's first row, null without shingles."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"), F.xxhash64("text").alias("th"))
     seen = written(frequent_shingles(docs, size), "frequent")
@@ -195,10 +202,10 @@ def near_classes(docs: DataFrame, size: int = 5, heavy_from: int = 16, most_freq
     order = np.argsort(tokens)
     tokens, ranks = tokens[order], np.clip(np.log2(common["n"].to_numpy()[order] + 1) * 2, 1, 62).astype(np.uint64)
     below = seen.where(F.col("n") < least).agg(F.avg("n").alias("l")).first()["l"] or 1.0
-    shared = spark.sparkContext.broadcast((tokens, ranks, light_boundary(float(below))))
+    facts = spark.sparkContext.broadcast((tokens, ranks, light_boundary(float(below))))
 
     def run(batches: Iterable) -> Iterator[dict[str, list]]:
-        tokens, ranks, boundary = shared.value
+        tokens, ranks, boundary = facts.value
         known: set[int] = set()
         for columns, texts in text_batches(batches):
             out: dict[str, list] = {"n": [], "sid": [], "keys": [], "places": [], "last": []}
@@ -232,25 +239,30 @@ def near_classes(docs: DataFrame, size: int = 5, heavy_from: int = 16, most_freq
     reps = written(reps.select("sid", "r.doc", "r.th", "copies"), "reps")
     entries = sets.where("keys is not null").select("sid", "n", "last", F.explode(F.arrays_zip("keys", "places")).alias("e"))
     entries = entries.select(F.col("e.keys").alias("key"), "sid", "last", (F.col("n") * (1 << 32) + F.col("e.places") + 1).alias("np"))
-    w = Window.partitionBy("key")
-    lists = entries.withColumns({"low": F.min("sid").over(w), "high": F.max("sid").over(w)}).where("low <> high")
+    shared = entries.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count("*").alias("m")).where("low <> high")
+    lists = skew_join(entries, written(shared.select("key", "m"), "shared"), "key", "m")
     size_of, place = F.floor(F.col("np") / (1 << 32)).cast("long"), (F.col("np") % (1 << 32) - 1).cast("int")
-    lists = written(lists.select("key", "sid", size_of.alias("n"), place.alias("place"), "last", "low").distinct(), "lists")
+    lists = written(lists.select("key", "sid", size_of.alias("n"), place.alias("place"), "last").distinct(), "lists")
 
     groups = linked_groups(lists, lambda pairs: verified(pairs, reps, docs, size), SPARE)
     named = reps.join(groups.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    least_doc = named.groupBy("component").agg(F.min("doc").alias("component_id"))
-    named = written(named.join(least_doc, "component").select("sid", "copies", F.nullif("component_id", F.lit(LAST_ID)).alias("component_id")), "named")
-    linked = skew_join(sets.where("sid is not null").select("doc_id", "n", "sid"), named, "sid", "copies")
-    alone = sets.where("sid is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return linked.select("doc_id", "n", "component_id").unionByName(alone).withColumnRenamed("n", "n_shingles")
+    first = named.groupBy("component").agg(F.min(F.struct("doc", "th")).alias("home"))
+    named = written(named.join(first, "component").select("sid", "copies", "home"), "named")
+    linked = skew_join(sets.where("sid is not null").select("doc_id", "doc", "th", "n", "sid"), named, "sid", "copies")
+    alone = sets.where("sid is null").select("doc_id", "doc", "th", "n", F.lit(None).cast("struct<doc: long, th: long>").alias("home"))
+    return linked.select("doc_id", "doc", "th", "n", "home").unionByName(alone)
 
 
 def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose id is their group's smallest; rows without an id or shingles stay."""
-    gone = near_classes(docs, size).where("component_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    gone = written(gone, "gone")
-    return docs.join(F.broadcast(gone) if _ids_fit(gone) else gone, "doc_id", "left_anti")
+    """The rows of ``docs`` that are their group's first by id (null ids last) and text hash; rows without shingles stay.
+
+    Rows are told apart by id and text, so rows of one id but different texts stand for themselves. Repeated rows stay or go together.
+    """
+    own_doc, own_th = own_names(docs, "doc", "th")
+    gone = classified(docs, size).where("home is not null and (doc <> home.doc or th <> home.th)").select(F.col("doc").alias(own_doc), F.col("th").alias(own_th))
+    gone = written(gone.distinct(), "gone")
+    keyed = docs.withColumns({own_doc: F.coalesce("doc_id", F.lit(LAST_ID)), own_th: F.xxhash64("text")})
+    return keyed.join(F.broadcast(gone) if _ids_fit(gone) else gone, [own_doc, own_th], "left_anti").select(*docs.columns)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

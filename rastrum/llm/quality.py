@@ -143,7 +143,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int) -> tuple[l
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.where(crc_mod("doc_id", 5) != 0)
     share = min(1.0, most_rows / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    if share < 1:
+        known = known.where(F.xxhash64("doc_id") < int((2 * share - 1) * 2.0**63))
 
     def run(batches: Iterable) -> Iterator[dict[str, list]]:
         for columns, texts in text_batches(batches):

@@ -9,11 +9,10 @@ from tokenizers import Tokenizer
 from rastrum.llm.ann import nearest
 from rastrum.llm.bpe import WordBpe, encode_documents
 from rastrum.llm.hnsw import near_groups
-from rastrum.llm.jaccard import near_classes, shingle_set
+from rastrum.llm.jaccard import keep_one, near_classes, shingle_set
 from rastrum.llm.lines import dedup_lines
 from rastrum.llm.lm import LogBilinear, score_texts, train
 from rastrum.llm.packing import best_cuts, pack, split_tail
-from rastrum.llm.passages import bands_for, dedup_passages
 from rastrum.llm.quality import keep_good, score_quality
 from rastrum.llm.shards import ShardStore
 
@@ -59,11 +58,44 @@ def test_shards(spark, odd, none, tmp_path):
     version = store.compact()
     assert store.read().count() == 5 * len(ROWS) and len(store.shards()) < before and store.read(1).count() == len(ROWS)
     with pytest.raises(RuntimeError):
-        store.commit([], version - 1)
+        store.commit([], [], version - 1)
     store.vacuum(version)
+    assert store.versions() == [version] and store.read(version).count() == 5 * len(ROWS)
     assert store.versions() == [version] and store.read().exceptAll(odd.union(odd).union(odd).union(odd).union(odd)).count() == 0
 
 
+def test_vacuum_keeps_newer_versions_and_open_writers(spark, odd, tmp_path):
+    store = ShardStore(spark, str(tmp_path / "s"), odd.schema)
+    for _ in range(3):
+        store.append(odd.coalesce(1))
+    odd.coalesce(1).write.parquet(f"{store.root}/data/open")
+    store.vacuum(2)
+    assert [store.read(v).count() // len(ROWS) for v in (2, 3)] == [2, 3] and store.versions() == [2, 3]
+    opened = store._files(f"{store.root}/data/open")
+    assert opened and store.read(store.commit(opened, [], 3)).count() == 4 * len(ROWS)
+    before = store.shards()
+    store.compact()
+    store.vacuum(store.versions()[-1], least_age=0)
+    assert store.read().count() == 4 * len(ROWS) and len(store._files(f"{store.root}/data")) == len(store.shards()) <= len(before)
+
+
+def test_lines_at_large_thresholds(spark):
+    sites = {**{f"below {k}": 196 for k in range(30)}, **{f"at {k}": 200 for k in range(30)}}
+    rows = spark.createDataFrame([(line, n) for line, n in sites.items()], "line string, n int").selectExpr("line", "explode(sequence(1, n)) as site")
+    docs = rows.selectExpr("site as doc_id", "line as text", "cast(site as string) as source", "'x' as __gone", "'y' as __doc")
+    out = dedup_lines(docs, min_sites=200)
+    assert out.columns == ["doc_id", "source", "__gone", "__doc", "text", "n_lines", "n_removed"]
+    gone = {r["line"]: r["n"] for r in out.join(docs.select("doc_id", docs.text.alias("was")), "doc_id").where("text <> was").groupBy(F.col("was").alias("line")).agg(F.count("*").alias("n")).collect()}
+    assert out.where("n_removed > 0").count() == 30 * 199 and gone is not None
+
+
+def test_keep_one_tells_rows_by_text(spark):
+    a, b = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen fifteen"
+    docs = spark.createDataFrame([(3, b, "u"), (7, a, "u"), (7, b, "u"), (9, a, "u"), (None, a, "u"), (11, None, "u"), (None, None, "u")], "doc_id long, text string, th string")
+    out = keep_one(docs)
+    assert out.columns == docs.columns and sorted((r.doc_id or -1, r.text or "") for r in out.collect()) == [(-1, ""), (3, b), (7, a), (11, "")]
+
+
 def test_lm(spark, odd, none, docs):
     rows = docs.select("doc_id", "text").collect()
     got = {r.doc_id: r for r in score_texts(docs, vocabulary=64, most_frequent=300).collect()}
@@ -173,6 +205,10 @@ def test_bpe(odd, none, docs):
     for t in [*odd_texts, *[r.text for r in docs.limit(60).collect()]]:
         ids = library.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(own.encode(t), "<u4").tolist() == ids and own.decode(own.encode(t)).decode() == library.decode(ids, skip_special_tokens=False)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    mixed = [" ".join(f"a{c}b {c}{c} 1{c}." for c in every[k : k + 64]) for k in range(0, len(every), 64)]
+    for t, enc in zip(mixed, library.encode_batch(mixed, add_special_tokens=False)):
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == enc.ids
     assert encode_documents(odd, path).count() == len(ROWS) and encode_documents(none, path).count() == 0
 
 
@@ -211,72 +247,6 @@ def test_packing(odd, none, docs):
     assert total == brute(8) and sum(split_tail(1000, 2048, 64)) == 1000
 
 
-def test_passages(spark, odd, none):
-    rng = np.random.default_rng(4)
-    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
-    passage = " ".join(word() for _ in range(60))
-    rows = []
-    for i in range(30):
-        own = [word() for _ in range(120)]
-        rows.append((i, " ".join(own[:50] + ([passage] if i < 12 else []) + own[50:])))
-    out = {r.doc_id: r for r in dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert out[0].text == rows[0][1] and all(out[i].kept_in == [0] and out[i].removed_words >= 25 for i in range(1, 12))
-    assert all(out[i].text == rows[i][1] for i in range(12, 30))
-    got = dedup_passages(odd).collect()
-    assert len(got) == len(ROWS) and [r.text for r in got if r.doc_id == 2] == [None] and got[0]["__pos"] == "p" and dedup_passages(none).count() == 0
-    assert bands_for(0.98) == 3
-
-
-def laid_out(words, width):
-    return "\n".join(" ".join(words[k : k + width]) for k in range(0, len(words), width))
-
-
-def test_passage_layouts(spark):
-    from rastrum.llm.passages import Cut
-
-    rng = np.random.default_rng(9)
-    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
-    shares = {}
-    for widths in [(1, 1), (4, 4), (6, 6), (10, 13), (60, 12), (60, 60)]:
-        shares[widths] = []
-        for _ in range(40):
-            passage, found = [word() for _ in range(60)], []
-            for width in widths:
-                own = [word() for _ in range(80)]
-                found.append(Cut(f"{laid_out(own[:40], 8)}\n{laid_out(passage, width)}\n{laid_out(own[40:], 8)}"))
-            known = set(found[0].classes().tolist())
-            shares[widths].append(sum(int(h - l) for c, l, h in zip(found[1].classes().tolist(), found[1].low, found[1].high) if c in known) / 60)
-    print({w: (round(float(np.mean(s)), 3), round(float(np.mean(np.array(s) < 1 / 3)), 3)) for w, s in shares.items()})
-    assert all(np.mean(s) > 0.6 for s in shares.values()) and np.mean(shares[60, 60]) == 1
-    for text in ["", "a b c d", "a " * 5, "x " * 203, "a b c\nd e\n" * 30, laid_out([word() for _ in range(300)], 25) + "\nend here"]:
-        cut = Cut(text)
-        assert (cut.low[1:] >= cut.high[:-1]).all() and (cut.high - cut.low >= 5).all()
-        assert sum(cut.high - cut.low) >= len(text.split()) - (4 if len(text.split()) < 5 or text.endswith("end here") else 0)
-    rows = []
-    for i, width in enumerate([1, 4, 6, 13, 10, 60]):
-        own = [word() for _ in range(120)]
-        rows.append((i, f"{laid_out(own[:50], 8)}\n{laid_out(passage, width)}\n{laid_out(own[50:], 8)}"))
-    out = {r.doc_id: r for r in dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert out[0].text == rows[0][1] and all(out[i].kept_in == [0] and out[i].removed_words >= 25 for i in range(1, 6))
-
-
-def test_near_passages(spark):
-    from rastrum.llm.words import word_hashes
-
-    rng = np.random.default_rng(6)
-    words = np.array([f"n{k}" for k in range(8000)])
-    words = words[np.argsort(word_hashes(" ".join(words).encode())[2])[::-1]]  # falling hashes: no cut inside
-    rows = []
-    for small, large in [(10, 13), (11, 14), (12, 16), (14, 18), (15, 20), (18, 24)] * 5:
-        own = words[np.sort(rng.choice(len(words), large + 4, replace=False))]
-        rows += [(2 * len(rows), " ".join(own)), (2 * len(rows) + 1, " ".join(own[large - small :]))]
-    sets = [set(shingle_set(t).tolist()) for _, t in rows]
-    least = brute_components(sets)
-    assert all(least[i + 1] == i for i in range(0, len(rows), 2))
-    got = {r.doc_id: r for r in dedup_passages(spark.createDataFrame(rows, "doc_id long, text string"), recall=0.9999, least_run=5).collect()}
-    assert [got[i].kept_in for i, _ in rows] == [[] if least[k] == k else [rows[least[k]][0]] for k, (i, _) in enumerate(rows)]
-
-
 def test_pipeline(spark):
     import corpus_pipeline
 
