@@ -13,8 +13,20 @@ from dataclasses import dataclass, field
 import numpy as np
 
 
-@dataclass(frozen=True)
-class Kernel:
+class Weighted:
+    """Equality and hash by value for classes with arrays among their fields."""
+
+    def __eq__(self, other: object) -> bool:
+        if type(other) is not type(self):
+            return NotImplemented
+        return all(np.array_equal(a, b) if isinstance(a, np.ndarray) else a == b for a, b in zip(vars(self).values(), vars(other).values()))
+
+    def __hash__(self) -> int:
+        return hash((type(self).__name__, *(v.shape if isinstance(v, np.ndarray) else v for v in vars(self).values())))
+
+
+@dataclass(frozen=True, eq=False)
+class Kernel(Weighted):
     """Dense weights; ``origin`` is the position of displacement zero."""
 
     weights: np.ndarray
@@ -32,6 +44,10 @@ class Kernel:
         """Least and largest displacement for each dimension."""
         return tuple((-o, s - 1 - o) for o, s in zip(self.origin, self.weights.shape))
 
+    def reach_sizes(self) -> tuple[tuple[int, int], ...]:
+        """How many pixels it needs before and after each place."""
+        return tuple((max(0, -low), max(0, high)) for low, high in self.reach())
+
     def taps(self) -> Iterator[tuple[tuple[int, ...], float]]:
         for at in np.ndindex(self.weights.shape):
             if self.weights[at] != 0:
@@ -42,8 +58,8 @@ class Kernel:
         return self.weights.size == 1 and self.weights.item() == 1
 
 
-@dataclass(frozen=True)
-class OneD:
+@dataclass(frozen=True, eq=False)
+class OneD(Weighted):
     """A one-dimensional stencil along dimension ``dim`` of ``ndim``."""
 
     weights: np.ndarray
@@ -75,8 +91,8 @@ class OneD:
         return OneD(self.weights / other, self.origin, self.dim, self.ndim)
 
 
-@dataclass(frozen=True)
-class Recursive:
+@dataclass(frozen=True, eq=False)
+class Recursive(Weighted):
     """A third-order recursive filter: forward and backward coefficients, scale, right-edge matrix."""
 
     forward: tuple[float, float, float]

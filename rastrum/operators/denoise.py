@@ -7,35 +7,39 @@ import numpy as np
 from rastrum.raster import Raster
 
 
-def tv_step_images(g: np.ndarray, lam: float, rounds: int, periodic: bool = True) -> np.ndarray:
-    """min |u - g|^2 + lam TV(u): forward differences and their exact adjoint."""
-    dims, tau = g.ndim, 0.25
+def tv_step_images(g: np.ndarray, lam: float, rounds: int, periodic: bool = True, channel: int | None = None) -> np.ndarray:
+    """min |u - g|^2 + lam TV(u): forward differences and their exact adjoint. Differences are taken along all
+    dimensions but ``channel``; the slopes of all channels of a pixel make one norm."""
+    places, tau = [d for d in range(g.ndim) if d != channel], 0.25
     lam = float(np.float32(lam))
 
     def forward(x: np.ndarray, d: int) -> np.ndarray:
         y = np.roll(x, -1, d) - x
         if not periodic:
-            y[tuple(slice(None) if k != d else -1 for k in range(dims))] = 0
+            y[tuple(slice(None) if k != d else -1 for k in range(g.ndim))] = 0
         return y
 
     def divergence(p: list[np.ndarray]) -> np.ndarray:
         total = np.zeros_like(g)
-        for d, x in enumerate(p):
+        for d, x in zip(places, p):
             back = np.roll(x, 1, d)
             if not periodic:
-                back[tuple(slice(None) if k != d else 0 for k in range(dims))] = 0
+                back[tuple(slice(None) if k != d else 0 for k in range(g.ndim))] = 0
             total += x - back
         return total
 
-    u, p = g, [forward(g, d) for d in range(dims)]
+    u, p = g, [forward(g, d) for d in places]
     for _ in range(rounds):
         u = g - lam * divergence(p)
-        slope = [forward(u, d) * (tau / lam) for d in range(dims)]
-        size = 1 + np.sqrt(sum(s * s for s in slope))
+        slope = [forward(u, d) * (tau / lam) for d in places]
+        squares = sum(s * s for s in slope)
+        size = 1 + np.sqrt(squares if channel is None else squares.sum(channel, keepdims=True))
         p = [(x - s) / size for x, s in zip(p, slope)]
     return u
 
 
-def denoise_tv(raster: Raster, lam: float, rounds: int = 10, periodic: bool = True) -> Raster:
-    """Every image denoised with a fixed number of rounds; ``periodic`` chooses the rule at the far edges."""
-    return raster.map_images(lambda x: tv_step_images(x, lam, rounds, periodic))
+def denoise_tv(raster: Raster, lam: float, rounds: int = 10, periodic: bool = True, channel: str | None = None) -> Raster:
+    """Every image denoised with a fixed number of rounds; ``periodic`` chooses the rule at the far edges, ``channel``
+    names the axis of colours, if there is one."""
+    at = None if channel is None else raster.names.index(channel)
+    return raster.map_images(lambda x: tv_step_images(x, lam, rounds, periodic, at))

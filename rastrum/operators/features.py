@@ -7,22 +7,30 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from itertools import product
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastrum.functions.borders import Border, Pad
+from rastrum.functions.borders import Border, Pad, border
 from rastrum.functions.kernels import gradient_kernel, log_kernel
-from rastrum.operators.filtering import filter_raster
+from rastrum.operators.filtering import correlate, filter_each, filter_raster
 from rastrum.operators.padding import pad_raster
 from rastrum.operators.stencil import scatter
+from rastrum.plans.strategy import by_image
 from rastrum.raster import Axis, Raster
 
+#: The name of an axis of colours: neighbours along it are no neighbours in space.
+CHANNEL = "c"
+
 
 def gradients(raster: Raster, kernel: str | Callable = "ando3", by: str | Border = "replicate") -> Raster:
     """Columns g1..gN: the derivative along each dimension. ``kernel``: a name, or a function of
     (which dimensions are longer than one, dimension) that gives the factors."""
     long = [a.ragged or len(a) > 1 for a in raster.axes]
     make = kernel if callable(kernel) else lambda e, d: gradient_kernel(kernel, e, d)
+    chained = filter_each(raster, {f"g{d + 1}": make(long, d) for d in range(len(long))}, border(by))
+    if chained:
+        return chained
     on = [*raster.group, *raster.names]
     parts = []
     for d in range(len(raster.axes)):
@@ -34,7 +42,7 @@ def gradients(raster: Raster, kernel: str | Callable = "ando3", by: str | Border
 
 def _extrema(raster: Raster, window: Sequence[int] | None, edges: bool | Sequence[bool], sign: int) -> DataFrame:
     n = len(raster.axes)
-    window = [3] * n if window is None else list(window)
+    window = [1 if a.name == CHANNEL else 3 for a in raster.axes] if window is None else list(window)
     edges = [edges] * n if isinstance(edges, bool) else list(edges)
     if len(window) != n or len(edges) != n:
         raise ValueError("window and edges need one entry for each dimension")
@@ -55,7 +63,8 @@ def _extrema(raster: Raster, window: Sequence[int] | None, edges: bool | Sequenc
 
 
 def find_local_maxima(raster: Raster, window: Sequence[int] | None = None, edges: bool | Sequence[bool] = True) -> DataFrame:
-    """Pixels strictly above all others of their window; plateaus give none, NaN blocks its neighbours."""
+    """Pixels strictly above all others of their window (3 along each dimension of space by default); plateaus give
+    none, NaN blocks its neighbours."""
     return _extrema(raster, window, edges, 1)
 
 
@@ -72,10 +81,10 @@ def blob_log(
 ) -> DataFrame:
     """Blobs: local maxima over place and scale of the negated, scaled Laplacian of Gaussian.
 
-    Returns keys, place, sigma (array), amplitude; radius is sigma times the square root of two. ``edges``: for the scale
+    Returns keys, place, sigma and radius (arrays; sigma times the square root of two), amplitude. ``edges``: for the scale
     axis and each dimension, whether extrema at the ends count (default: scales yes, places no).
-    ``threshold`` is relative to the largest magnitude of the image; 0 keeps all. All scales go through one
-    scattered sum.
+    ``threshold`` is relative to the largest magnitude of the image; 0 keeps all. Images with a key are taken
+    whole, all scales at a time; one image without a key goes through one scattered sum.
     """
     n = len(raster.axes)
     shape = [1.0] * n if shape is None else list(shape)
@@ -83,11 +92,20 @@ def blob_log(
     flags = [True] + [False] * n if edges is None else [edges] * (n + 1) if isinstance(edges, bool) else list(edges)
     kernels = [log_kernel([s * f for f in shape]) for s in scales]
     need = tuple((max(-k.reach()[d][0] for k in kernels), max(k.reach()[d][1] for k in kernels)) for d in range(n))
-    padded = pad_raster(raster, Pad("reflect"), need)
-    taps = [(at, {"__s": s, "__w": -scales[s] * float(w)}) for s, k in enumerate(kernels) for at, w in k.taps()]
-    df, group = scatter(padded, taps, raster.axes)
-    stack = df.groupBy(*raster.group, "__s", *raster.names).agg(F.sum(F.col(raster.value) * F.col("__w")).alias("amplitude"))
-    cube = Raster(stack, raster.keys, (Axis("__s", 0, len(scales) - 1), *raster.axes), "amplitude", raster.carried)
+    places = (Axis("__s", 0, len(scales) - 1), *raster.axes)
+    whole = raster.with_df(raster.df.withColumn(raster.value, F.col(raster.value).cast("double")))
+    if by_image(whole):
+        def stacked(x: np.ndarray) -> np.ndarray:
+            return np.stack([-s * correlate(np.pad(x, k.reach_sizes(), mode="reflect"), k) for s, k in zip(scales, kernels)])
+
+        cube = whole.map_images(stacked, places)
+        cube = cube.with_df(cube.df.withColumnRenamed("v", "amplitude"), value="amplitude")
+    else:
+        padded = pad_raster(raster, Pad("reflect"), need)
+        taps = [(at, {"__s": s, "__w": -scales[s] * float(w)}) for s, k in enumerate(kernels) for at, w in k.taps()]
+        df, group = scatter(padded, taps, raster.axes)
+        stack = df.groupBy(*raster.group, "__s", *raster.names).agg(F.sum(F.col(raster.value) * F.col("__w")).alias("amplitude"))
+        cube = Raster(stack, raster.keys, places, "amplitude", raster.carried)
     found = _extrema(cube, [3] * (n + 1), flags, 1)
     sigma = F.element_at(F.array(*[F.array(*[F.lit(float(s * f)) for f in shape]) for s in scales]), F.col("__s") + 1)
     if threshold:
@@ -95,4 +113,5 @@ def blob_log(
         floor = F.element_at(F.array(*[F.lit(threshold / (s**n * math.prod(shape))) for s in scales]), F.col("__s") + 1)
         found = found.join(top, list(raster.keys)) if raster.keys else found.crossJoin(F.broadcast(top))
         found = found.where(F.col("amplitude") > floor * F.col("__top"))
-    return found.select(*raster.keys, *raster.names, sigma.alias("sigma"), "amplitude")
+    found = found.select(*raster.keys, *raster.names, sigma.alias("sigma"), "amplitude")
+    return found.select(*raster.keys, *raster.names, "sigma", F.transform("sigma", lambda s: s * math.sqrt(2)).alias("radius"), "amplitude")

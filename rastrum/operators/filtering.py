@@ -8,11 +8,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from rastrum.functions.borders import NA, Border, Extent, Fill, Inner, Pad, border
-from rastrum.functions.kernels import Kernel, Laplacian, OneD, Recursive, convolve_kernels
+from rastrum.functions.kernels import Kernel, OneD, Recursive, convolve_kernels
 from rastrum.operators.padding import pad_raster
 from rastrum.operators.recursive import filter_recursive
 from rastrum.operators.stencil import along, cropped, scatter, shifted
-from rastrum.plans.strategy import Factor, extents, factors_of
+from rastrum.plans.strategy import Factor, by_fourier, extents, factors_of
 from rastrum.raster import Raster
 
 
@@ -30,7 +30,8 @@ def filter_raster(
 
     ``kernel``: a Kernel, OneD, Laplacian, array (centred) or Recursive, or a sequence applied in turn; the
     image is padded once by all extents together and shrinks with each factor. ``algorithm``:
-    "fir" (default), "fft" (images that fit a row). ``dtype``: Spark type of the result;
+    "fir", or "fft" for images that fit a row; by itself the latter for floating-point images with a key and a factor of
+    more than 30 weights (an image that isn't finite is summed directly). A complex kernel gives a column of re and im. ``dtype``: Spark type of the result;
     an overflow is an error under ANSI mode. ``roi``: closed index ranges; pixels that can't
     matter are dropped before anything is shuffled. Integer images with integer kernels stay exact.
     """
@@ -42,7 +43,9 @@ def filter_raster(
     else:
         factors = factors_of(kernel, len(raster.axes), separable)
         need = extents(factors, len(raster.axes))
-        if algorithm == "fft":
+        if any(np.iscomplexobj(f.weights) for f in factors):
+            return _complex(raster, factors, by, need, roi)
+        if algorithm == "fft" or algorithm is None and not isinstance(by, NA) and by.sizes is None and by_fourier(raster, factors):
             out = _fourier(raster, factors, by, need)
             out = out.region(**roi) if roi else out
         elif algorithm not in (None, "fir"):
@@ -64,7 +67,8 @@ def _sizes(by: Border, need: Extent) -> Extent:
     return sizes
 
 
-def _direct(raster: Raster, factors: list[Factor], by: Border, need: Extent, roi: dict | None) -> Raster:
+def _padded(raster: Raster, by: Border, need: Extent, roi: dict | None = None) -> tuple[Raster, list]:
+    """The padded raster without what no result needs, and the axes of the result."""
     target = list(raster.axes)
     if isinstance(by, Inner):
         target = [a.grown(-low, -high) for a, (low, high) in zip(target, _sizes(by, need))]
@@ -78,7 +82,11 @@ def _direct(raster: Raster, factors: list[Factor], by: Border, need: Extent, roi
                 raise ValueError(f"{a.name}: {low}..{high} is outside {a.first}..{a.last}")
             target[k] = type(a)(a.name, low, high)
     wanted = [a.grown(low, high) for a, (low, high) in zip(target, need)]
-    current = cropped(padded, wanted)
+    return cropped(padded, wanted), target
+
+
+def _direct(raster: Raster, factors: list[Factor], by: Border, need: Extent, roi: dict | None) -> Raster:
+    current, target = _padded(raster, by, need, roi)
     for f in factors:
         reach = f.reach()
         axes = [a.grown(-max(0, -low), -max(0, high)) for a, (low, high) in zip(current.axes, reach)]
@@ -86,6 +94,42 @@ def _direct(raster: Raster, factors: list[Factor], by: Border, need: Extent, roi
     return cropped(current, target)
 
 
+def _complex(raster: Raster, factors: list[Factor], by: Border, need: Extent, roi: dict | None) -> Raster:
+    """Real and imaginary sums from one scattering."""
+    if isinstance(by, NA):
+        raise ValueError("a complex kernel has no normalisation for missing pixels")
+    whole = convolve_kernels(*[f.dense() if isinstance(f, OneD) else f for f in factors])
+    current, target = _padded(raster, by, need, roi)
+    df, group = scatter(current, [(at, {"__w": float(w.real), "__x": float(w.imag)}) for at, w in whole.taps()], target)
+    v = F.col(raster.value)
+    made = F.struct(F.sum(v * F.col("__w")).alias("re"), F.sum(v * F.col("__x")).alias("im"))
+    return raster.with_df(df.groupBy(*group).agg(made.alias(raster.value)), target)
+
+
+def filter_each(raster: Raster, kernels: dict[str, tuple], by: Border) -> Raster | None:
+    """One column for each named kernel, from one chain of windows. None where a kernel isn't one factor a dimension at most."""
+    n = len(raster.axes)
+    lists = {name: factors_of(tuple(k), n) for name, k in kernels.items()}
+    single = all(isinstance(f, OneD) for fs in lists.values() for f in fs) and all(len({f.dim for f in fs}) == len(fs) for fs in lists.values())
+    if not single or isinstance(by, NA):
+        return None
+    reaches = [extents(fs, n) for fs in lists.values()]
+    need = tuple((max(r[d][0] for r in reaches), max(r[d][1] for r in reaches)) for d in range(n))
+    current, target = _padded(raster, by, need)
+    current = current.with_df(current.df.withColumns({name: F.col(raster.value).cast("double") for name in lists}))
+    for dim in range(n):
+        window = along(current, dim)
+        made = {}
+        for name, factors in lists.items():
+            for f in factors:
+                if f.dim == dim:
+                    terms = [shifted(F.col(name), k - f.origin, window) * F.lit(_weight(w)) for k, w in enumerate(f.weights.tolist()) if w != 0]
+                    made[name] = reduce(lambda a, b: a + b, terms) if terms else F.col(name) * 0
+        axes = [target[d] if d <= dim else a for d, a in enumerate(current.axes)]
+        current = cropped(current.with_df(current.df.withColumns(made) if made else current.df), axes)
+    return current.with_df(current.df.drop(raster.value), value=next(iter(lists)))
+
+
 def _weight(w) -> int | float:
     return int(w) if isinstance(w, (int, np.integer)) else float(w)
 
@@ -161,7 +205,12 @@ def _fourier(raster: Raster, factors: list[Factor], by: Border, need: Extent) ->
 
 
 def _mixed(raster: Raster, stages: list, by: Border) -> Raster:
-    """Recursive factors take the dimensions in turn; the others are ordinary stages between them."""
+    """Recursive factors take the dimensions in turn; the others are ordinary stages between them.
+
+    The raster is padded once, by twice the reach of the ordinary stages, and cropped at the end: what a recursion
+    takes for the constant beyond its line is constant then, so the order of the stages doesn't matter (for a Pad style
+    other than replicate: but for what the recursion sees of the padding).
+    """
     if isinstance(by, Inner):
         raise ValueError("a recursive filter has no inner part")
     if sum(isinstance(s, Recursive) or s is None for s in stages) > len(raster.axes):
@@ -175,13 +224,14 @@ def _mixed(raster: Raster, stages: list, by: Border) -> Raster:
         both = above.df.join(below.df.withColumnRenamed(below.value, "__m"), join)
         ratio = F.when(F.col("__m") == 0, float("nan")).otherwise(F.col(above.value) / F.col("__m"))
         return above.with_df(both.select(*join, ratio.alias(above.value)))
-    out, dim = raster, 0
+    plain = [f for s in stages if s is not None and not isinstance(s, Recursive) for f in factors_of(s, len(raster.axes))]
+    need = tuple((2 * low, 2 * high) for low, high in extents(plain, len(raster.axes)))
+    out, dim = pad_raster(raster, by, need) if plain else raster, 0
     for s in stages:
         if s is None:
             dim += 1
         elif isinstance(s, Recursive):
             out, dim = filter_recursive(out, s, dim, by), dim + 1
         else:
-            s = s.dense() if isinstance(s, Laplacian) else s
-            out = filter_raster(out, s, by)
-    return out
+            out = filter_raster(out, s, Inner(), algorithm="fir")
+    return cropped(out, raster.axes)

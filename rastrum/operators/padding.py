@@ -51,30 +51,31 @@ def pad_raster(raster: Raster, by: str | Border, sizes: Extent | None = None) ->
 
 
 def _filled(raster: Raster, by: Fill, sizes: Extent):
-    grown = [a.grown(*s) for a, s in zip(raster.axes, sizes)]
     corner = F.lit(True)
     for a in raster.axes:
         corner = corner & (F.col(a.name) == a.first)
     kind = raster.df.schema[raster.value].dataType
     cells = F.array(F.struct(*[F.col(a.name).cast("int").alias(a.name) for a in raster.axes], F.lit(False).alias("__new")))
-    grid = F.array(F.struct(F.lit(0).alias("__none")))
-    for k, a in enumerate(grown):
-        grid = F.flatten(F.transform(grid, _product_step([g.name for g in grown[:k]], a)))
-
-    def beyond(c: Column) -> Column:
-        out = F.lit(False)
-        for a in raster.axes:
-            out = out | ~a.contains(c[a.name])
-        return out
-
-    new = F.transform(F.filter(grid, beyond), lambda c: F.struct(*[c[a.name].alias(a.name) for a in raster.axes], F.lit(True).alias("__new")))
+    # Only the rim is built: for each dimension, what lies outside along it and inside along all before.
+    rims = []
+    for d, (low, high) in enumerate(sizes):
+        if low or high:
+            lines = [_line(a) for a in raster.axes[:d]] + [outside(raster.axes[d], low, high)] + [_line(a.grown(*s)) for a, s in zip(raster.axes[d + 1 :], sizes[d + 1 :])]
+            grid = F.array(F.struct(F.lit(0).alias("__none")))
+            for k, line in enumerate(lines):
+                grid = F.flatten(F.transform(grid, _product_step(raster.names[:k], raster.names[k], line)))
+            rims.append(F.transform(grid, lambda c: F.struct(*[c[n].alias(n) for n in raster.names], F.lit(True).alias("__new"))))
+    new = F.concat(*rims) if rims else F.slice(cells, 1, 0)
     rest = [c for c in raster.df.columns if c not in (*raster.names, raster.value)]
     spread = raster.df.select(*rest, raster.value, F.explode(F.when(corner, F.concat(cells, new)).otherwise(cells)).alias("__cell"))
     value = F.when(F.col("__cell.__new"), F.lit(by.value).cast(kind)).otherwise(F.col(raster.value))
     return spread.select(*rest, *[F.col(f"__cell.{n}").alias(n) for n in raster.names], value.alias(raster.value))
 
 
-def _product_step(names: list[str], a: Axis):
+def _line(a: Axis) -> Column:
+    return F.sequence(F.lit(a.first), a.last_column().cast("int"))
+
+
+def _product_step(names: tuple[str, ...], name: str, line: Column):
     """Extends a cell, a struct of the ``names`` so far, by every index of one more axis."""
-    line = F.sequence(F.lit(a.first), a.last_column().cast("int"))
-    return lambda cell: F.transform(line, lambda at: F.struct(*[cell[n].alias(n) for n in names], at.alias(a.name)))
+    return lambda cell: F.transform(line, lambda at: F.struct(*[cell[n].alias(n) for n in names], at.alias(name)))

@@ -13,11 +13,22 @@ from pyspark.sql import functions as F
 from rastrum.functions.borders import Border, Fill, Inner, Pad, border, source_index
 from rastrum.operators.padding import pad_raster
 from rastrum.operators.stencil import along, cropped, scatter
+from rastrum.plans.strategy import by_image
 from rastrum.raster import Axis, Raster
 
 #: Aggregates of a window that can be taken along one dimension after the other.
 SEPARABLE: dict[str, Callable[[Column], Column]] = {"min": F.min, "max": F.max, "sum": F.sum}
 Span = tuple[int, int]
+#: The same over the last axis of an array of windows, for images that are taken whole (a missing pixel is NaN there).
+BY_IMAGE: dict[str, Callable[[np.ndarray, float | None], np.ndarray]] = {
+    "median": lambda w, q: np.median(w, -1),
+    "lower_median": lambda w, q: np.sort(w, -1)[..., (w.shape[-1] - 1) // 2],
+    "nan_median": lambda w, q: np.where(np.isnan(w).all(-1), np.nan, np.nanmedian(np.where(np.isnan(w).all(-1)[..., None], 0, w), -1)),
+    "quantile": lambda w, q: np.quantile(w, q, -1),
+    "first": lambda w, q: w[..., 0],
+    "std": lambda w, q: np.std(w, -1, ddof=1),
+}
+MODES = {"replicate": "edge", "circular": "wrap", "symmetric": "symmetric", "reflect": "reflect"}
 
 
 def spans(window: int | Span | Sequence, ndim: int, even: bool = False) -> list[Span]:
@@ -85,7 +96,7 @@ def map_window(
     Names: min, max, sum, mean, extrema (column of min and max), median, lower_median, nan_median, quantile
     (``q``), first, count, std. A callable of (value, place) columns is an aggregate of
     your own; with ``python`` it gets the window as a flat numpy array, first dimension
-    fastest, in Arrow batches. Separable names take one window stage per dimension. ``indices``: only these, numbered
+    fastest, in Arrow batches. Images with a key that fit a row are taken whole for these. Separable names take one window stage per dimension. ``indices``: only these, numbered
     from 0 in the result where the step isn't 1. With ``local_border`` a Pad style continues the part of the
     window that lies inside the image, not the image; the window must hold its centre then, and reflect
     fails where only one pixel is inside.
@@ -103,6 +114,9 @@ def map_window(
         return strided(out, indices) if indices else out
     need = tuple((max(0, -low), max(0, high)) for low, high in span)
     target = [a.grown(-low, -high) for a, (low, high) in zip(raster.axes, need)] if isinstance(by, Inner) else list(raster.axes)
+    if (python or function in BY_IMAGE) and returns == "double" and by_image(raster):
+        out = _by_image(raster, function, span, by, need, target, q)
+        return strided(out, indices) if indices else out
     padded = raster if isinstance(by, Inner) else pad_raster(raster, by, need) if any(s for p in need for s in p) else raster
     names = [function] if isinstance(function, str) else []
     if names and names[0] in SEPARABLE:
@@ -121,6 +135,31 @@ def map_window(
     return strided(out, indices) if indices else out
 
 
+def _by_image(raster: Raster, function, span: list[Span], by: Border, need, target: list[Axis], q) -> Raster:
+    """Windows as views of the padded image, some rows of it at a time."""
+    sizes = [high - low + 1 for low, high in span]
+    skip = [low + before for (low, _), (before, _) in zip(span, need)]  # a window that begins after its centre
+    step = max(1, 2_000_000 // int(np.prod(sizes) * np.prod([len(a) for a in target[1:]])))
+    n = len(target)
+
+    def run(x: np.ndarray) -> np.ndarray:
+        if isinstance(by, Fill):
+            x = np.pad(x, need, constant_values=float(by.value))
+        elif isinstance(by, Pad) and any(s for pair in need for s in pair):
+            x = np.pad(x, need, mode=MODES[by.style])
+        views = np.lib.stride_tricks.sliding_window_view(x, sizes)[tuple(slice(s, s + len(a)) for s, a in zip(skip, target))]
+        views = views.transpose(*range(n), *reversed(range(n, 2 * n)))  # first dimension fastest
+        out = np.empty(views.shape[:n])
+        for low in range(0, len(views), step):
+            part = views[low : low + step]
+            flat = part.reshape(*part.shape[:n], -1)
+            out[low : low + step] = BY_IMAGE[function](flat, q) if isinstance(function, str) else np.apply_along_axis(function, -1, flat)
+        return out
+
+    made = raster.map_images(run, tuple(target))
+    return made.with_df(made.df.withColumnRenamed("v", raster.value), value=raster.value)
+
+
 def _by_dimension(raster: Raster, values: dict[str, Callable], span: list[Span], target: list[Axis]) -> Raster:
     for dim, (low, high) in enumerate(span):
         window = along(raster, dim).rowsBetween(low, high)

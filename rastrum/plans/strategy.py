@@ -8,9 +8,11 @@ import numpy as np
 
 from rastrum.functions.borders import Extent
 from rastrum.functions.kernels import Kernel, Laplacian, OneD, Recursive, centered, separate
+from rastrum.raster import Raster
 
-#: Taps of one dense factor from which whole images go through a Fourier transform, if they fit a row.
-FOURIER_TAPS = 200
+#: Beyond these taps of one factor whole images go through a Fourier transform, if they fit a row of this many pixels.
+FOURIER_TAPS = 30
+IMAGE_PIXELS = 1 << 22
 Factor = Kernel | OneD
 
 
@@ -55,5 +57,11 @@ def extents(factors: Sequence[Factor], ndim: int) -> Extent:
     return tuple(zip(low, high))
 
 
-def by_fourier(factors: Sequence[Factor]) -> bool:
-    return any(isinstance(f, Kernel) and np.count_nonzero(f.weights) > FOURIER_TAPS for f in factors)
+def by_image(raster: Raster) -> bool:
+    """Whether the raster's images can be taken whole: keyed, of one size that fits a row, of floating-point pixels."""
+    kind = raster.df.schema[raster.value].dataType.typeName()
+    return bool(raster.keys) and not any(a.ragged for a in raster.axes) and int(np.prod(raster.shape)) <= IMAGE_PIXELS and kind in ("double", "float")
+
+
+def by_fourier(raster: Raster, factors: Sequence[Factor]) -> bool:
+    return by_image(raster) and any(np.count_nonzero(f.weights) > FOURIER_TAPS for f in factors)

@@ -101,12 +101,16 @@ class Raster:
 
     @staticmethod
     def from_counts(df: DataFrame, keys: tuple[str, ...], axes: tuple[Axis, ...], value: Column) -> Raster:
-        """A dense raster from an aggregation: cells without rows are 0. ``value`` is an aggregate."""
+        """A dense raster from an aggregation: cells without rows are 0. ``value`` is an aggregate. Rows without an
+        index belong to no cell; a row outside the axes is an error."""
         names = [a.name for a in axes]
+        df = df.dropna(subset=names)
+        for a in axes:
+            df = df.withColumn(a.name, F.when(a.contains(F.col(a.name)), F.col(a.name)).otherwise(F.raise_error(F.lit(f"a row lies outside axis {a.name}"))))
         cells = df.groupBy(*keys, *names).agg(value.alias("__v"))
-        grid = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+        grid = cells.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
         for a in axes:
-            grid = grid.withColumn(a.name, F.explode(F.sequence(F.lit(a.first), F.lit(a.last))))
+            grid = grid.withColumn(a.name, F.explode(F.sequence(F.lit(a.first), F.lit(a.last)))).where(a.contains(F.col(a.name)))
         dense = grid.join(cells, [*keys, *names], "left").select(*keys, *names, F.coalesce("__v", F.lit(0)).alias("v"))
         return Raster(dense, keys, axes)
 

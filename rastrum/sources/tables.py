@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import struct
+import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,22 +34,33 @@ def vol4(spark: SparkSession, sf_dir: str) -> Raster:
     return Raster.from_array_column(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", (4, 4, 4), names=("i", "j", "k2"))
 
 
+def vol5(spark: SparkSession, sf_dir: str) -> Raster:
+    return Raster.from_array_column(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", (2, 2, 2, 2, 4), names=("i", "j", "k2", "l", "m"))
+
+
+def colours(spark: SparkSession, sf_dir: str) -> Raster:
+    """Every embedding as an 8x4 image of two channels, the last axis."""
+    return Raster.from_array_column(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", (8, 4, 2), names=("i", "j", "c"))
+
+
 def signals(spark: SparkSession, sf_dir: str) -> Raster:
     """The values of each user's events in order of time: signals of different lengths."""
     return Raster.from_sequences(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
 
 
 def hours(spark: SparkSession, sf_dir: str) -> Raster:
-    """Event counts by day and hour, one channel for each type of event."""
+    """Event counts by day of the month and hour, one channel for each type of event."""
     events = table(spark, sf_dir, "events").select("event_type", F.dayofmonth("ts").alias("i"), F.hour("ts").alias("j"))
-    return Raster.from_counts(events, ("event_type",), (Axis("i", 1, 30), Axis("j", 0, 23)), F.count("*").cast("long"))
+    return Raster.from_counts(events, ("event_type",), (Axis("i", 1, 31), Axis("j", 0, 23)), F.count("*").cast("long"))
 
 
 def shipments(spark: SparkSession, sf_dir: str) -> Raster:
-    """Line items by ship month (from January 1995) and quantity: one image without a key."""
+    """Line items by ship month (0: January 1995) and quantity, from the least to the largest of each: one image without a key."""
     month = (F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1
-    lines = table(spark, sf_dir, "lineitem").select(month.cast("int").alias("i"), F.col("l_quantity").cast("int").alias("j"))
-    return Raster.from_counts(lines, (), (Axis("i", 0, 82), Axis("j", 1, 50)), F.count("*").cast("long"))
+    lines = table(spark, sf_dir, "lineitem").select(month.cast("int").alias("i"), F.col("l_quantity").cast("int").alias("j")).dropna()
+    ends = lines.agg(*[f(c).alias(f"{k}{c}") for c in ("i", "j") for k, f in (("low", F.min), ("high", F.max))]).first()
+    axes = tuple(Axis(c, ends[f"low{c}"] or 0, ends[f"high{c}"] if ends[f"high{c}"] is not None else -1) for c in ("i", "j"))
+    return Raster.from_counts(lines, (), axes, F.count("*").cast("long"))
 
 
 def read_images(spark: SparkSession, path: str, height: int, width: int, channels: int) -> Raster:
@@ -61,6 +76,36 @@ def read_images(spark: SparkSession, path: str, height: int, width: int, channel
     return Raster.from_array_column(rows, "origin", "data", (height, width, channels), names=("i", "j", "c"))
 
 
+def write_bitmaps(df: DataFrame, key: str, column: str, shape: tuple[int, int], folder: str) -> None:
+    """One uncompressed bitmap file of 24 bits for each row, grey: floor(100 v + 128) within 0..255; files are named by key."""
+    height, width = shape
+    line = -(-3 * width // 4) * 4
+    size = line * height
+    header = b"BM" + struct.pack("<IHHI", 54 + size, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, size, 2835, 2835, 0, 0)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                grey = np.clip(np.floor(np.array(values, float) * 100 + 128), 0, 255).astype(np.uint8).reshape(shape)[::-1]  # lowest line first
+                lines = np.zeros((height, line), np.uint8)
+                lines[:, : 3 * width] = np.repeat(grey, 3, axis=1)
+                with open(f"{folder}/{name}.bmp", "wb") as f:
+                    f.write(header + lines.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=[key])
+
+    df.select(key, column).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}").count()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = f"{root or tempfile.mkdtemp(prefix='spark-')}/rasters-{uuid.uuid4().hex}".removeprefix("file:")
+    os.makedirs(folder, exist_ok=True)
+    return folder
+
+
 def write_pixels(raster: Raster, path: str) -> None:
     raster.pixels().write.parquet(path)
 
