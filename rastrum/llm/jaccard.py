@@ -8,7 +8,7 @@ link with a large one, are entered in inverted lists (c = 1). The boundary is wh
 enumerating begins to cost more than scanning lists. Candidates are verified by exact intersection.
 
 Only components are asked for, so links inside a known component need no check. Round one compares
-each set with one leader of its lists. Round two takes all pairs that share a list but not yet a component,
+each set with the leader of most of its lists. Round two takes all pairs that share a list but not yet a component,
 drops those whose prefixes rule the threshold out, and verifies the rest: no link between components is lost, and a large group
 of near copies costs about one check per member.
 
@@ -23,7 +23,7 @@ import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rastrum.llm.frames import LAST_ID, components, map_arrow, own_names, skew_join, table, text_batches, written
@@ -33,6 +33,8 @@ from rastrum.llm.words import lowered, mix, shingle_hashes, word_hashes
 MOST_BROADCAST = 400_000
 #: A set of n shingles enters 1 + n // SPARE more of them in lists than it could miss, so linked sets share that many.
 SPARE = 24
+#: Lists of this many sets or more compare bitmaps of whole sets before they make a pair.
+LONG_LIST = 64
 
 
 def shingle_set(text: str, size: int = 5) -> np.ndarray:
@@ -57,6 +59,24 @@ def frequent_shingles(docs: DataFrame, size: int, local: int = 4) -> DataFrame:
     return map_arrow(docs.select("text"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray | None:
+    """Which of 1024 places (4096 from 257 shingles on, none from 1025 on) hold a shingle, as 64-bit words.
+
+    A place that one set holds and another doesn't stands for at least one shingle that they don't share.
+    """
+    if len(shingles) > 1024:
+        return None
+    size = 1024 if len(shingles) <= 256 else 4096
+    held = np.zeros(size, np.uint8)
+    held[(shingles % np.uint64(size)).astype(np.int64)] = 1
+    return np.packbits(held).view("<i8")
+
+
+def beyond(a: Column, b: Column) -> Column:
+    """How many places of bitmap ``a`` aren't in ``b``."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda n, k: n + k)
+
+
 def light_boundary(list_length: float) -> int:
     """Largest size at which the 2-subsets of a prefix are no more than its entries and the scans they save.
 
@@ -132,8 +152,8 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, chun
     return map_arrow(dealt.select("sid", "lead", "text"), compare, "a long, b long")
 
 
-def linked_groups(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], spare_of: int) -> DataFrame:
-    """(node, component) from lists of sets, rows (key, sid, n, place, last), and a ``verify`` of (a, b) pairs.
+def linked_groups(lists: DataFrame, bitmaps: DataFrame, verify: Callable[[DataFrame], DataFrame], spare_of: int) -> DataFrame:
+    """(node, component) from lists of sets, rows (key, sid, n, place, last), their (sid, bits), and a ``verify`` of (a, b) pairs.
 
     ``n``: the set's size; ``place``: the key's position in the set's order, -1 where positions say
     nothing; ``last``: where the set's last placed key stands in the order of all keys. Linked sets share 1 + n // ``spare_of`` placed keys, n being the smaller size.
@@ -161,13 +181,18 @@ def linked_groups(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], sp
     own, entries = Window.partitionBy("sid", F.col("place") < 0), F.col("n") - F.ceil(F.col("n") * 0.75) + 1 + F.floor(F.col("n") / spare_of)
     mixed = mixed.withColumns({"before": F.row_number().over(own.orderBy("place")) - 1, "__open": F.count("*").over(own) + F.col("n") - entries})
     mixed = written(mixed.withColumn("after", F.col("__open") - F.col("before") - 1).drop("__open"), "mixed")
-    minor = mixed.where("comp <> major").select("key", "held", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "place", "last", "comp", "before", "after")])
-    every = mixed.select("key", "major", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "place", "last", "comp", "before", "after")])
+    long = mixed.where(F.col("held") >= LONG_LIST).join(bitmaps, "sid", "left")
+    mixed = written(mixed.where(F.col("held") < LONG_LIST).withColumn("bits", F.lit(None).cast("array<long>")).unionByName(long), "mixed")
+    columns = ("sid", "n", "place", "last", "comp", "before", "after", "bits")
+    minor = mixed.where("comp <> major").select("key", "held", *[F.col(c).alias(f"{c}_a") for c in columns])
+    every = mixed.select("key", "major", *[F.col(c).alias(f"{c}_b") for c in columns])
     rest_a = F.when(F.col("last_a") <= F.col("last_b"), F.col("after_a")).otherwise(F.col("n_a") - 1 - F.col("place_a"))
     rest_b = F.when(F.col("last_b") <= F.col("last_a"), F.col("after_b")).otherwise(F.col("n_b") - 1 - F.col("place_b"))
     reach = F.least("before_a", "before_b") + 1 + F.least(rest_a, rest_b)
     fits = (F.col("n_a") * 4 >= F.col("n_b") * 3) & (F.col("n_b") * 4 >= F.col("n_a") * 3)
     fits &= (F.col("place_a") < 0) | (F.col("place_b") < 0) | (reach * 7 >= (F.col("n_a") + F.col("n_b")) * 3)
+    most_shared = F.least(F.col("n_a") - beyond(F.col("bits_a"), F.col("bits_b")), F.col("n_b") - beyond(F.col("bits_b"), F.col("bits_a")))
+    fits &= F.coalesce(F.size("bits_a") != F.size("bits_b"), F.lit(True)) | F.coalesce(most_shared * 7 >= (F.col("n_a") + F.col("n_b")) * 3, F.lit(True))
     once = (F.col("comp_b") == F.col("major")) | (F.col("sid_a") < F.col("sid_b"))
     met = skew_join(every, minor, "key", "held").where((F.col("comp_a") != F.col("comp_b")) & fits & once)
     a_first = F.col("sid_a") < F.col("sid_b")
@@ -208,10 +233,10 @@ def classified(docs: DataFrame, size: int, heavy_from: int = 16, most_frequent:
         tokens, ranks, boundary = facts.value
         known: set[int] = set()
         for columns, texts in text_batches(batches):
-            out: dict[str, list] = {"n": [], "sid": [], "keys": [], "places": [], "last": []}
+            out: dict[str, list] = {"n": [], "sid": [], "keys": [], "places": [], "last": [], "bits": []}
             for t in texts:
                 s = shingle_set(t, size)
-                sid, keys, places, last = None, None, None, None
+                sid, keys, places, last, bits = None, None, None, None, None
                 if len(s):
                     sid = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
                     if sid not in known:
@@ -226,15 +251,16 @@ def classified(docs: DataFrame, size: int, heavy_from: int = 16, most_frequent:
                         keys, places = signature(s[order], boundary)
                         end = order[prefix_length(len(s)) - 1]
                         last = int(rank[end]) << 57 | int(s[end]) >> 7
-                        keys = keys.view(np.int64)
+                        keys, bits = keys.view(np.int64), bitmap(s)
                 out["n"].append(len(s))
                 out["sid"].append(sid)
                 out["keys"].append(keys)
                 out["places"].append(places)
                 out["last"].append(last)
+                out["bits"].append(bits)
             yield columns | out
 
-    sets = written(map_arrow(docs, run, "doc_id long, doc long, th long, n long, sid long, keys array<long>, places array<int>, last long"), "sets")
+    sets = written(map_arrow(docs, run, "doc_id long, doc long, th long, n long, sid long, keys array<long>, places array<int>, last long, bits array<long>"), "sets")
     reps = sets.where("sid is not null").groupBy("sid").agg(F.min(F.struct("doc", "th")).alias("r"), F.count("*").alias("copies"))
     reps = written(reps.select("sid", "r.doc", "r.th", "copies"), "reps")
     entries = sets.where("keys is not null").select("sid", "n", "last", F.explode(F.arrays_zip("keys", "places")).alias("e"))
@@ -244,7 +270,8 @@ def classified(docs: DataFrame, size: int, heavy_from: int = 16, most_frequent:
     size_of, place = F.floor(F.col("np") / (1 << 32)).cast("long"), (F.col("np") % (1 << 32) - 1).cast("int")
     lists = written(lists.select("key", "sid", size_of.alias("n"), place.alias("place"), "last").distinct(), "lists")
 
-    groups = linked_groups(lists, lambda pairs: verified(pairs, reps, docs, size), SPARE)
+    bitmaps = sets.where("bits is not null").groupBy("sid").agg(F.first("bits").alias("bits"))  # rows of one set are alike
+    groups = linked_groups(lists, bitmaps, lambda pairs: verified(pairs, reps, docs, size), SPARE)
     named = reps.join(groups.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     first = named.groupBy("component").agg(F.min(F.struct("doc", "th")).alias("home"))
     named = written(named.join(first, "component").select("sid", "copies", "home"), "named")
