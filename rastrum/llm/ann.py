@@ -3,9 +3,10 @@
 Equal vectors are one class with its six smallest ids, which is all that five neighbours can need. A coarse k-means
 and the residuals' codebooks are fitted on a bounded sample (``sample``, documented parameter); every
 class is indexed. Queries probe the nearest lists; a list's codes are compared through asymmetric
-distance tables, the shortlist is reranked by the exact cosine of the original vectors. An audit on the sample
-chooses how many lists to probe. Long lists are cut into blocks and the queries of a list into chunks,
-so that every group is of bounded size.
+distance tables, the shortlist is reranked by the exact cosine of the original vectors. An audit with vectors of the
+sample that took no part in fitting chooses how many lists to probe and how long the shortlist is. Long lists are cut into
+blocks and the queries of a list into chunks of its own, so that every group is of bounded size and a list is copied only as
+often as its own queries ask for.
 
 Null, zero or non-finite vectors, vectors of a rarer length and null ids take no part. Ties go to the smaller
 id. A repeated id counts once for equal vectors. Empty tables give no rows; other columns are ignored.
@@ -21,17 +22,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rastrum.llm.frames import map_arrow, table, written
+from rastrum.llm.frames import map_arrow, skew_join, table, written
 from rastrum.llm.vectors import cosines, matrix, part_rule, unit
 
 NEAR = 5
 BLOCK = 4096
 
 
+def closest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row, some rows at a time."""
+    half = (centres**2).sum(1) / 2
+    return np.concatenate([np.argmax(x[low : low + BLOCK] @ centres.T - half, 1) for low in range(0, len(x), BLOCK)] or [np.zeros(0, int)])
+
+
 def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     centres = x[rng.choice(len(x), k, replace=False)]
     for _ in range(rounds):
-        nearest = np.argmax(x @ centres.T - (centres**2).sum(1) / 2, 1)
+        nearest = closest(x, centres)
         counts = np.bincount(nearest, minlength=k)
         sums = np.zeros_like(centres)
         np.add.at(sums, nearest, x)
@@ -48,35 +55,48 @@ class Index:
     centroids: np.ndarray
     codebooks: list[np.ndarray]
     probes: int = 1
+    shortlist: int = 256
 
     @staticmethod
     def fit(x: np.ndarray, lists: int, seed: int = 11) -> Index:
         rng = np.random.default_rng(seed)
         x = unit(x.astype(np.float64))
-        centroids = k_means(x, min(lists, len(x)), 10, rng)
-        rest = x - centroids[np.argmax(x @ centroids.T, 1)]
+        x = x[rng.permutation(len(x))]
+        kept = max(1, len(x) - len(x) // 10)  # the last tenth takes no part in fitting
+        fitted = x[:kept]
+        centroids = k_means(fitted, min(lists, kept), 10, rng)
+        rest = fitted - centroids[closest(fitted, centroids)]
         parts = np.array_split(np.arange(x.shape[1]), max(1, min(16, x.shape[1] // 4)))
-        index = Index(centroids, [k_means(rest[:, p], min(256, len(x)), 6, rng) for p in parts])
-        index.probes = index.audit(x, rng)
+        index = Index(centroids, [k_means(rest[:, p], min(256, kept), 6, rng) for p in parts])
+        index.audit(x, np.arange(kept, len(x)) if kept < len(x) else np.arange(len(x)))
         return index
 
     def parts(self) -> list[np.ndarray]:
         return np.array_split(np.arange(self.centroids.shape[1]), len(self.codebooks))
 
-    def audit(self, x: np.ndarray, rng: np.random.Generator, aim: float = 0.985, queries: int = 300) -> int:
-        """Least number of probed lists with which ``aim`` of the sample's true neighbours lie in them, and a fifth more."""
-        pick = rng.choice(len(x), min(queries, len(x)), replace=False)
+    def audit(self, x: np.ndarray, others: np.ndarray, aim: float = 0.985, queries: int = 300) -> None:
+        """Sets the least number of probed lists with which ``aim`` of the true neighbours of some ``others`` lie in them, and a
+        fifth more; and a shortlist (256 to 2048) in which each list's coded order keeps as many."""
+        pick = others[:queries]
         s = x[pick] @ x.T
         s[np.arange(len(pick)), pick] = -2
-        true = np.argsort(-s, 1)[:, : min(NEAR, len(x) - 1)]
-        home = np.argmax(x @ self.centroids.T, 1)
+        true = np.argpartition(-s, min(NEAR, len(x) - 1) - 1, 1)[:, : min(NEAR, len(x) - 1)] if len(x) > 1 else np.zeros((len(pick), 0), int)
+        home, codes = self.encode(x)
         place = np.argsort(np.argsort(-(x[pick] @ self.centroids.T), 1), 1)
         need = np.sort(np.take_along_axis(place, home[true], 1).ravel()) + 1
         least = int(need[min(len(need) - 1, int(aim * len(need)))]) if len(need) else 1
-        return min(len(self.centroids), -(-least * 6 // 5))
+        self.probes = min(len(self.centroids), -(-least * 6 // 5))
+        behind = []
+        for q, near in zip(pick[:60], true):
+            for t in near:
+                members = np.flatnonzero(home == home[t])
+                rough = self.approximate(x[q : q + 1], int(home[t]), codes[members])[0]
+                behind.append(int((rough > rough[members == t][0]).sum()) + 1)
+        if behind:
+            self.shortlist = int(min(2048, max(256, 2 * np.quantile(behind, aim))))
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        home = np.argmax(x @ self.centroids.T, 1)
+        home = closest(x, self.centroids)
         rest = x - self.centroids[home]
         codes = [np.argmax(rest[:, p] @ c.T - (c**2).sum(1) / 2, 1) for p, c in zip(self.parts(), self.codebooks)]
         return home, np.stack(codes, 1).astype(np.uint8)
@@ -97,7 +117,7 @@ def classes(vectors: DataFrame, keep: int) -> DataFrame:
     return grouped.select(F.element_at("members", 1).alias("cid"), "embedding", "members")
 
 
-def nearest(vectors: DataFrame, query_mod: int = 50, sample: int = 10_000, shortlist: int = 256) -> DataFrame:
+def nearest(vectors: DataFrame, query_mod: int = 50, sample: int = 100_000) -> DataFrame:
     """(query_id, rank, vec_id, score) of the NEAR nearest of every row whose id is divisible by ``query_mod``."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -108,7 +128,8 @@ def nearest(vectors: DataFrame, query_mod: int = 50, sample: int = 10_000, short
     if n == 0:
         return spark.createDataFrame([], schema)
     share = min(1.0, sample / n)
-    fitted = every.where(F.pmod(F.xxhash64("cid"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("cid", "embedding").toPandas().sort_values("cid")
+    drawn = every if share == 1 else every.where(F.xxhash64("cid") < int((2 * share - 1) * 2.0**63))
+    fitted = drawn.select("cid", "embedding").toPandas().sort_values("cid")  # about ``sample`` rows at most
     index = Index.fit(matrix(list(fitted["embedding"])), max(1, min(4096, int(n**0.5 / 2)) if n >= 512 else 1))
     shared = spark.sparkContext.broadcast(index)  # bounded by 4096 lists and 256 words a part
 
@@ -123,12 +144,11 @@ def nearest(vectors: DataFrame, query_mod: int = 50, sample: int = 10_000, short
     counts = np.zeros(len(index.centroids), np.int64)
     for row in coded.groupBy("list").count().collect():  # one row per list
         counts[row["list"]] = row["count"]
-    asked = good.where(F.pmod("vec_id", F.lit(query_mod)) == 0).join(every.select("embedding", "cid"), "embedding").select("vec_id", "cid").distinct()
-    asked = written(asked, "asked")
-    ask_classes = asked.select("cid").distinct()
-    n_queries = max(1, ask_classes.count())
+    asking = good.where(F.pmod("vec_id", F.lit(query_mod)) == 0)
+    ask_classes = asking.groupBy("embedding").agg(F.count("*").alias("n")).join(every.select("embedding", "cid"), "embedding")
+    ask_classes = written(ask_classes, "asking")
+    asked = written(skew_join(asking, ask_classes, "embedding", "n").select("vec_id", "cid").distinct(), "asked")
     blocks = np.maximum(1, -(-counts // BLOCK))
-    chunks = int(max(1, -(-n_queries // BLOCK)))
 
     def probe(batches: Iterable) -> Iterator[dict[str, list]]:
         index = shared.value
@@ -138,11 +158,11 @@ def nearest(vectors: DataFrame, query_mod: int = 50, sample: int = 10_000, short
             order = np.argsort(-(unit(matrix(batch.column(1))) @ index.centroids.T), 1)
             enough = np.cumsum(counts[order], 1) - counts[order] < 16 * NEAR
             take = (np.arange(order.shape[1]) < index.probes) | enough
-            out: dict[str, list] = {"qid": [], "q": [], "list": [], "block": [], "chunk": []}
+            out: dict[str, list] = {"qid": [], "q": [], "list": []}
             for cid, q, lists, keep in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), order, take):
                 for at in lists[keep]:
-                    for b in range(blocks[at] if counts[at] else 0):
-                        for name, value in zip(out, (cid, q, int(at), b, cid % chunks)):
+                    if counts[at]:
+                        for name, value in zip(out, (cid, q, int(at))):
                             out[name].append(value)
                 if len(out["qid"]) > 20_000:
                     yield out
@@ -150,9 +170,17 @@ def nearest(vectors: DataFrame, query_mod: int = 50, sample: int = 10_000, short
             yield out
 
     queries = coded.join(ask_classes, "cid", "left_semi").select("cid", "embedding")
-    probes = map_arrow(queries, probe, "qid long, q array<double>, list int, block int, chunk int")
-    per_list = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("list") + 1)
-    stored = coded.withColumn("block", F.pmod(F.xxhash64("cid"), per_list).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    probes = map_arrow(queries, probe, "qid long, q array<double>, list int")
+    # A list's queries are cut into chunks and its vectors into blocks; both numbers are the list's own.
+    per_list = written(probes.groupBy("list").agg(F.count("*").alias("probes")), "probes")  # at most one row per list
+    dealt = np.zeros(len(counts), np.int64)
+    for row in per_list.collect():
+        dealt[row["list"]] = row["probes"]
+    table_of = lambda numbers: F.element_at(F.array(*[F.lit(int(b)) for b in numbers]), F.col("list") + 1)
+    chunks = np.maximum(1, -(-dealt // BLOCK))
+    upto = lambda numbers: F.explode(F.sequence(F.lit(0), table_of(numbers) - 1))
+    probes = probes.withColumn("chunk", F.pmod(F.xxhash64("qid"), table_of(chunks)).cast("int")).withColumn("block", upto(blocks))
+    stored = coded.where(table_of(dealt) > 0).withColumn("block", F.pmod(F.xxhash64("cid"), table_of(blocks)).cast("int")).withColumn("chunk", upto(chunks))
 
     def search(key: tuple, block: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         if not len(block) or not len(ask):
@@ -164,7 +192,7 @@ def nearest(vectors: DataFrame, query_mod: int = 50, sample: int = 10_000, short
             part = ask.iloc[low : low + 256]
             q = matrix(list(part["q"]))
             rough = index.approximate(unit(q), int(key[0]), codes)
-            most = min(shortlist, len(x))
+            most = min(index.shortlist, len(x))
             short = np.argpartition(-rough, most - 1, 1)[:, :most]
             for qid, v, s in zip(part["qid"], q, short):
                 score = cosines(np.repeat(v[None], most, 0), x[s])
@@ -177,7 +205,9 @@ def nearest(vectors: DataFrame, query_mod: int = 50, sample: int = 10_000, short
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
     top = found.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= NEAR + 1).drop("__n")
     members = top.join(every.select("cid", "members"), "cid").select("qid", "score", F.explode("members").alias("vec_id"))
-    pairs = asked.select(F.col("vec_id").alias("query_id"), F.col("cid").alias("qid")).join(members, "qid").where("query_id <> vec_id").select("query_id", "vec_id", "score").distinct()
+    members = members.join(ask_classes.select(F.col("cid").alias("qid"), "n"), "qid")
+    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("cid").alias("qid"))
+    pairs = skew_join(asked, written(members, "members"), "qid", "n").where("query_id <> vec_id").select("query_id", "vec_id", "score").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= NEAR).select("query_id", "rank", "vec_id", "score")
 

@@ -123,28 +123,33 @@ def skew_join(big: DataFrame, small: DataFrame, key: str | list[str], count: str
     return dealt.drop("__parts").join(spread, [*keys, "__part"], how).drop("__part")
 
 
+def spanning_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges reduced to one star for each of their components: a group of k nodes leaves as k - 1 edges."""
+    if not len(a):
+        return a, b
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        while not np.array_equal(jumped := new[new], new):
+            new = jumped
+        new = new[label]
+        if np.array_equal(new, label):
+            break
+        label = new
+    keep = label != np.arange(len(nodes))
+    return nodes[label[keep]], nodes[keep]
+
+
 def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-    """Edges of each batch reduced to a spanning star per local component."""
     for batch in batches:
-        a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        if not len(a):
-            continue
-        nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-        x, y = ends[: len(a)], ends[len(a) :]
-        label = np.arange(len(nodes))
-        while True:
-            low = np.minimum(label[x], label[y])
-            new = label.copy()
-            np.minimum.at(new, label[x], low)
-            np.minimum.at(new, label[y], low)
-            while not np.array_equal(jumped := new[new], new):
-                new = jumped
-            new = new[label]
-            if np.array_equal(new, label):
-                break
-            label = new
-        keep = label != np.arange(len(nodes))
-        yield {"a": nodes[label[keep]], "b": nodes[keep]}
+        if batch.num_rows:
+            a, b = spanning_forest(*(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
+            yield {"a": a, "b": b}
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
