@@ -69,6 +69,14 @@ def discard(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
+def small_batches(spark: SparkSession, most: int = 1000) -> None:
+    """Lowers the session's rows per Arrow batch to ``most``: rows are whole documents here, and this setting, read when a
+    plan runs, is all that bounds what a task holds of them at a time. A smaller value of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= most:
+        spark.conf.set(name, str(most))
+
+
 def map_arrow(
     df: DataFrame,
     function: Callable[[Iterable[pa.RecordBatch]], Iterator[dict[str, list]]],
@@ -78,6 +86,7 @@ def map_arrow(
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    small_batches(df.sparkSession)
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

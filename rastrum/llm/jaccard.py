@@ -34,7 +34,7 @@ MOST_BROADCAST = 400_000
 #: A set of n shingles enters 1 + n // SPARE more of them in lists than it could miss, so linked sets share that many.
 SPARE = 24
 #: Lists of this many sets or more compare bitmaps of whole sets before they make a pair.
-LONG_LIST = 64
+LONG_LIST = 8
 
 
 def shingle_set(text: str, size: int = 5) -> np.ndarray:
@@ -156,7 +156,7 @@ def linked_groups(lists: DataFrame, bitmaps: DataFrame, verify: Callable[[DataFr
     """(node, component) from lists of sets, rows (key, sid, n, place, last), their (sid, bits), and a ``verify`` of (a, b) pairs.
 
     ``n``: the set's size; ``place``: the key's position in the set's order, -1 where positions say
-    nothing; ``last``: where the set's last placed key stands in the order of all keys. Linked sets share 1 + n // ``spare_of`` placed keys, n being the smaller size.
+    nothing; ``last``: where the set's last placed key stands in the order of all keys. A set of n places n // ``spare_of`` keys more than it needs.
     """
     # Round one: each set against the leader that most of its lists have, if these are many. A list's leader is
     # the member most of whose keys are shared: in a group of near copies, what the others were made
@@ -179,11 +179,11 @@ def linked_groups(lists: DataFrame, bitmaps: DataFrame, verify: Callable[[DataFr
     # prefix goes on beyond its partner's, where a shared shingle is in no list of both: its positions alone bound it.
     mixed = skew_join(placed, major, "key", "held")
     own, entries = Window.partitionBy("sid", F.col("place") < 0), F.col("n") - F.ceil(F.col("n") * 0.75) + 1 + F.floor(F.col("n") / spare_of)
-    mixed = mixed.withColumns({"before": F.row_number().over(own.orderBy("place")) - 1, "__open": F.count("*").over(own) + F.col("n") - entries})
+    mixed = mixed.withColumns({"before": F.row_number().over(own.orderBy("place")) - 1, "prior": F.when(F.col("place") >= 0, F.lag("key").over(own.orderBy("place"))), "__open": F.count("*").over(own) + F.col("n") - entries})
     mixed = written(mixed.withColumn("after", F.col("__open") - F.col("before") - 1).drop("__open"), "mixed")
     long = mixed.where(F.col("held") >= LONG_LIST).join(bitmaps, "sid", "left")
     mixed = written(mixed.where(F.col("held") < LONG_LIST).withColumn("bits", F.lit(None).cast("array<long>")).unionByName(long), "mixed")
-    columns = ("sid", "n", "place", "last", "comp", "before", "after", "bits")
+    columns = ("sid", "n", "place", "last", "comp", "before", "after", "prior", "bits")
     minor = mixed.where("comp <> major").select("key", "held", *[F.col(c).alias(f"{c}_a") for c in columns])
     every = mixed.select("key", "major", *[F.col(c).alias(f"{c}_b") for c in columns])
     rest_a = F.when(F.col("last_a") <= F.col("last_b"), F.col("after_a")).otherwise(F.col("n_a") - 1 - F.col("place_a"))
@@ -193,18 +193,11 @@ def linked_groups(lists: DataFrame, bitmaps: DataFrame, verify: Callable[[DataFr
     fits &= (F.col("place_a") < 0) | (F.col("place_b") < 0) | (reach * 7 >= (F.col("n_a") + F.col("n_b")) * 3)
     most_shared = F.least(F.col("n_a") - beyond(F.col("bits_a"), F.col("bits_b")), F.col("n_b") - beyond(F.col("bits_b"), F.col("bits_a")))
     fits &= F.coalesce(F.size("bits_a") != F.size("bits_b"), F.lit(True)) | F.coalesce(most_shared * 7 >= (F.col("n_a") + F.col("n_b")) * 3, F.lit(True))
+    # Two sets whose keys before this one are the same meet there as well: one meeting of such a row is enough.
+    fits &= F.coalesce(F.col("prior_a") != F.col("prior_b"), F.lit(True))
     once = (F.col("comp_b") == F.col("major")) | (F.col("sid_a") < F.col("sid_b"))
     met = skew_join(every, minor, "key", "held").where((F.col("comp_a") != F.col("comp_b")) & fits & once)
-    a_first = F.col("sid_a") < F.col("sid_b")
-    pick = lambda x, y: F.when(a_first, F.col(x)).otherwise(F.col(y))
-    met = met.select(
-        pick("sid_a", "sid_b").alias("a"), pick("sid_b", "sid_a").alias("b"), pick("n_a", "n_b").alias("na"), pick("n_b", "n_a").alias("nb"), pick("place_a", "place_b").alias("pa"), pick("place_b", "place_a").alias("pb"),
-    )
-    summed = met.groupBy("a", "b", "na", "nb").agg(F.count_if(F.col("pa") >= 0).alias("k"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.min("pa").alias("least"))
-    most = F.col("k") + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
-    spare = 1 + F.floor(F.least("na", "nb") / spare_of)
-    may = (F.col("k") >= spare) & (most * 7 >= (F.col("na") + F.col("nb")) * 3)
-    doubtful = summed.where((F.col("least") < 0) | may).select("a", "b")
+    doubtful = met.select(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b")).distinct()
     second = written(verify(doubtful), "links")
     return written(components(first.unionByName(second)), "groups")
 
@@ -240,7 +233,7 @@ def classified(docs: DataFrame, size: int, heavy_from: int = 16, most_frequent:
                 if len(s):
                     sid = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
                     if sid not in known:
-                        if len(known) > 500_000:
+                        if len(known) > 100_000:
                             known.clear()
                         known.add(sid)
                         rank = np.zeros(len(s), np.uint64)

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrum.llm.frames import crc_mod, map_arrow, table, text_batches
+from rastrum.llm.frames import crc_mod, map_arrow, small_batches, table, text_batches
 
 BUCKETS = 1 << 15
 STATS = 14
@@ -35,7 +35,7 @@ def words_of(data: bytes) -> np.ndarray:
     for w in data.lower().split():
         b = _buckets.get(w)
         if b is None:
-            if len(_buckets) > 500_000:
+            if len(_buckets) > 100_000:
                 _buckets.clear()
             b = _buckets[w] = STATS + zlib.crc32(w) % BUCKETS
         out.append(b)
@@ -187,6 +187,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, thresho
             texts, sizes = batch.column(names.index("text")).to_pylist(), batch.column(names.index("n_chars")).to_pylist()
             yield batch.filter(pa.array([fm.score(t or "", n) >= threshold for t, n in zip(texts, sizes)], pa.bool_()))
 
+    small_batches(spark)
     return docs.mapInArrow(run, docs.schema)
 
 

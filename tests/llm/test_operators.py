@@ -96,27 +96,56 @@ def test_keep_one_tells_rows_by_text(spark):
     assert out.columns == docs.columns and sorted((r.doc_id or -1, r.text or "") for r in out.collect()) == [(-1, ""), (3, b), (7, a), (11, "")]
 
 
-def test_lm(spark, odd, none, docs):
-    rows = docs.select("doc_id", "text").collect()
-    got = {r.doc_id: r for r in score_texts(docs, vocabulary=64, most_frequent=300).collect()}
+def test_lm(spark, odd, none, docs, monkeypatch):
     from collections import Counter
 
+    from rastrum.llm import lm
+
+    made = []
+    monkeypatch.setattr(lm, "train", lambda *a, **k: made.append(train(*a, **k)) or made[-1])
+    rows = docs.select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in score_texts(docs, vocabulary=64, buckets=16, most_frequent=300).collect()}
     counts, tokens = Counter(), {}
     for r in rows:
         tokens[r.doc_id] = [*(r.text or "").encode().lower().split(), b""]
         if zlib.crc32(str(r.doc_id).encode()) % 7 != 2:
             counts.update(tokens[r.doc_id])
     n, v = sum(counts.values()), len(counts)
+    # The model's probability of every token in plain Python: mixture of the positions, then the share inside a bucket
+    top = sorted((w for w in counts if w), key=lambda w: (-counts[w], w))[:63]
+    ids = {w: i for i, w in enumerate([b"", *top])}
+    bucket = lambda w: zlib.crc32(w[-3:]) % 16
+    of = lambda w: ids[w] if w in ids else 64 + bucket(w)
+    totals = Counter({b: 1 for b in range(16)})
+    for w, c in counts.items():
+        totals[bucket(w)] += 0 if w in ids else c + 1
+    tables = [made[0].table(j).astype(float) for j in range(3)]
     for i, seen in tokens.items():
         base = sum(np.log10((counts[t] + 1) / (n + v + 1)) for t in seen)
         assert got[i].train_tokens == n and got[i].n_tokens == len(seen) and got[i].n_known == sum(t in counts for t in seen) and abs(got[i].base_score - base) < 1e-6
+        before, score = [0, 0, 0], 0.0
+        for t in seen:
+            p = sum(m * tables[j][before[-1 - j], of(t)] for j, m in enumerate((0.5, 0.3, 0.2)))
+            score += np.log10(p) + (0 if t in ids else np.log10((counts[t] + 1) / totals[bucket(t)]))
+            before.append(of(t))
+        assert abs(got[i].score - score) < 1e-3
     held = [r for r in got.values() if r.held_out]
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
     assert score_texts(odd).count() == len(ROWS) and score_texts(none).count() == 0
-    pairs = 100 * np.array([[5, 20, 1], [9, 1, 1], [3, 3, 30]])
-    table = train(pairs).log10_table()
-    assert np.allclose((10.0**table).sum(1), 1, atol=1e-5) and isinstance(train(pairs), LogBilinear)
-    assert np.abs(10.0**table - pairs / pairs.sum(1, keepdims=True)).max() < 0.05
+    # More than ``most_frequent`` tokens that are commoner than the end of a text
+    few = spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(40))) for k in range(1, 6)], "doc_id long, text string").unionAll(spark.createDataFrame([(9, "w1 w2 " * 30)], "doc_id long, text string"))
+    assert score_texts(few, vocabulary=8, buckets=4, most_frequent=2).where("isnan(score) or score > 0 or n_known > n_tokens").count() == 0
+
+
+def test_lm_training():
+    v = 6
+    pairs = np.random.default_rng(1).integers(0, 4000, (3, v, v)) + np.array([1, 9000, 1, 1, 1, 1])[None, None]
+    pair, n = np.arange(3 * v * v), pairs.ravel()
+    model = train(pair, n, v, noise=16, steps=1500)
+    assert isinstance(model, LogBilinear)
+    for j in range(3):
+        table = model.table(j)
+        assert np.allclose(table.sum(1), 1, atol=1e-5) and np.abs(table - pairs[j] / pairs[j].sum(1, keepdims=True)).max() < 0.08
 
 
 def vectors(spark, rows):
