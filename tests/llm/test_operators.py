@@ -141,7 +141,7 @@ def test_lm_training():
     v = 6
     pairs = np.random.default_rng(1).integers(0, 4000, (3, v, v)) + np.array([1, 9000, 1, 1, 1, 1])[None, None]
     pair, n = np.arange(3 * v * v), pairs.ravel()
-    model = train(pair, n, v, noise=16, steps=1500)
+    model = train(pair, n, v, noise=16, steps=800, batch=1024)
     assert isinstance(model, LogBilinear)
     for j in range(3):
         table = model.table(j)
@@ -251,6 +251,20 @@ def test_quality(spark, odd, none):
     assert keep_good(odd, labels).columns == odd.columns and score_quality(odd, labels.limit(0)).where("predicted = 1").count() == len(ROWS)
 
 
+def test_factorisation_machine_against_all_pairs():
+    from rastrum.llm.quality import features, fit
+
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 30, 12)) + ("!!" if i % 2 else ".") for i in range(60)] + [""]
+    rows = [features(t, None) for t in texts]
+    machine = fit(rows, np.array([i % 2 for i in range(len(texts))], float), rounds=3)
+    for t in texts[:10] + texts[-1:]:
+        index, x = machine.inputs(t, None)
+        z = sum(machine.linear[i] * a for i, a in zip(index, x))
+        z += sum(machine.factors[index[k]] @ machine.factors[index[m]] * x[k] * x[m] for k in range(len(x)) for m in range(k))
+        assert abs(machine.score(t, None) - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_packing(odd, none, docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
