@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -46,6 +45,7 @@ def plain_normal(text: str) -> str:
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # capital sigma lowers by itself, whatever follows
 
 
+@lru_cache(maxsize=1)
 def letter_differences() -> str:
     """Code points that the tokenizer library lowers otherwise than Python or classes otherwise than the pattern
     module, each before a stand-in of the library's class. All know different versions of the character tables; every code point is compared.
@@ -72,7 +72,7 @@ class WordBpe:
             spec = json.load(f)
         differences = letter_differences() if differences is None else differences
         self.stand_ins = dict(zip(map(ord, differences[::2]), differences[1::2]))
-        self.has_stand_ins = re.compile("[" + "".join(map(re.escape, differences[::2])) + "]").search if differences else lambda text: None
+        self.plain = frozenset(differences[::2]).isdisjoint
         model, suffix = spec["model"], spec["model"]["end_of_word_suffix"]
         vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -191,7 +191,7 @@ class WordBpe:
         for k, part in enumerate(parts):
             if k % 2:
                 out.append(np.array([self.special[part]], "<u4").tobytes())
-            elif part and not part.isascii() and self.has_stand_ins(part):
+            elif part and not part.isascii() and not self.plain(part):
                 part = NORMAL.normalize_str(part)
                 at = 0
                 for piece in self.pieces(part.translate(self.stand_ins)):  # of the same lengths, space between left out
