@@ -9,10 +9,12 @@ from rastrum.llm.hnsw import op9_near_embeddings
 from rastrum.llm.jaccard import OP5_SQL, op5_jaccard_join
 from rastrum.llm.lines import OP1_SQL, op1_line_dedup
 from rastrum.llm.lm import op3_lm_scoring
+from rastrum.llm.merkle import OP13_SQL, op13_merkle_manifest
 from rastrum.llm.packing import op8_packing
 from rastrum.llm.passages import op10_substring_dedup
 from rastrum.llm.quality import op7_quality
 from rastrum.llm.shards import OP2_SQL, op2_sharding
+from rastrum.llm.warc import OP12_SQL, op12_warc
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -25,9 +27,11 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_near_embeddings": op9_near_embeddings,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_warc": op12_warc,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES = {"op1_line_dedup": OP1_SQL, "op2_sharding": OP2_SQL, "op5_jaccard_join": OP5_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op2_sharding": OP2_SQL, "op5_jaccard_join": OP5_SQL, "op12_warc": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

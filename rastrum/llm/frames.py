@@ -47,13 +47,18 @@ def _files(spark: SparkSession, path: str) -> tuple:
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` as a Parquet table in the shared folder, and its path. The folder goes when the session's JVM ends."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses. What is there goes when the session's JVM ends."""
     root = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
     where, files = _files(spark, root)
     files.deleteOnExit(where)
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` as a Parquet table in the shared folder, and its path."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
