@@ -13,6 +13,7 @@ from rastrum.llm.merkle import OP13_SQL, op13_merkle_manifest
 from rastrum.llm.packing import op8_packing
 from rastrum.llm.passages import op10_substring_dedup
 from rastrum.llm.quality import op7_quality
+from rastrum.llm.resample import op11_importance_resampling
 from rastrum.llm.shards import OP2_SQL, op2_sharding
 from rastrum.llm.warc import OP12_SQL, op12_warc
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_near_embeddings": op9_near_embeddings,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_importance_resampling": op11_importance_resampling,
     "op12_warc": op12_warc,
     "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
