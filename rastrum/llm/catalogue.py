@@ -13,7 +13,7 @@ from rastrum.llm.merkle import OP13_SQL, op13_merkle_manifest
 from rastrum.llm.packing import op8_packing
 from rastrum.llm.passages import op10_substring_dedup
 from rastrum.llm.quality import op7_quality
-from rastrum.llm.resample import op11_importance_resampling
+from rastrum.llm.resample import OP11_SQL, op11_importance_resampling
 from rastrum.llm.shards import OP2_SQL, op2_sharding
 from rastrum.llm.warc import OP12_SQL, op12_warc
 
@@ -34,6 +34,6 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES = {"op1_line_dedup": OP1_SQL, "op2_sharding": OP2_SQL, "op5_jaccard_join": OP5_SQL, "op12_warc": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op2_sharding": OP2_SQL, "op5_jaccard_join": OP5_SQL, "op11_importance_resampling": OP11_SQL, "op12_warc": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

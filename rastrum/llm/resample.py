@@ -228,3 +228,32 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 5, least_words:
 
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+#: A checksum is the exclusive or of what each byte adds, by how many bytes follow it, so it is a join and an aggregation.
+OP11_SQL = """
+with recursive texts as (select 0 as side, doc_id as id, text from documents union all select 1, item_id, text from benchmark),
+split as (select row_number() over () as r, side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from texts),
+sized as (select r, side, id, len(ws) as n_words from split),
+runs as (
+  select r, side, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1]), list_transform(range(1, len(ws) - 1), lambda k: ws[k] || ' ' || ws[k + 1] || ' ' || ws[k + 2]))) as x from split),
+one as (select b, list_reduce(list_prepend(b, range(8)), lambda s, k: case when s & 1 = 1 then xor(s >> 1, 3988292384) else s >> 1 end) as c from range(256) t(b)),
+most as (select coalesce(max(strlen(x)), 0) as n from runs),
+moved as (select b, 0 as d, c from one union all select m.b, d + 1, xor(m.c >> 8, one.c) from moved m join one on one.b = m.c & 255, most where d < most.n),
+begun as (select 0 as d, 4294967295 as c union all select d + 1, xor(g.c >> 8, one.c) from begun g join one on one.b = g.c & 255, most where d < most.n),
+spelt as (select x, hex(x) as h, strlen(x) as n, unnest(range(strlen(x))) as k from (select distinct x from runs)),
+hashed as (
+  select s.x, (4294967295 - xor(any_value(g.c), bit_xor(m.c))) % 10000 as bucket
+  from spelt s join moved m on m.b = ('0x' || substr(s.h, 2 * s.k + 1, 2))::bigint and m.d = s.n - 1 - s.k join begun g on g.d = s.n group by s.x),
+counted as (select h.bucket, r.side, r.r, count(*) as n from runs r join hashed h on h.x = r.x group by all),
+sides as (select bucket, sum(n) filter (side = 0) as s, sum(n) filter (side = 1) as t from counted group by bucket),
+totals as (select coalesce(sum(s), 0)::double as s, coalesce(sum(t), 0)::double as t from sides),
+gains as (select bucket, floor(1000 * ln((coalesce(a.t, 0) + 1)::double * (b.s + 10000) / ((coalesce(a.s, 0) + 1)::double * (b.t + 10000)))) as gain from sides a, totals b),
+weighed as (
+  select d.id as doc_id, d.n_words, cast(coalesce(sum(c.n), 0) as bigint) as n_features, cast(coalesce(sum(c.n * g.gain), 0) as bigint) as weight,
+    ('0x' || substr(sha256('42:' || coalesce(d.id::varchar, '')), 1, 8))::bigint as h
+  from sized d left join counted c on c.r = d.r left join gains g on g.bucket = c.bucket where d.side = 0 group by d.r, d.id, d.n_words),
+scored as (select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double))) as bigint) as score from weighed),
+ranked as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id nulls last) as place, count(*) over (partition by n_words >= 20) as n from scored)
+select doc_id, n_features, weight, score, case when n_words >= 20 and place <= 5 * n // 100 then place end as rank from ranked
+"""
