@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from functools import reduce
-from itertools import product
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -15,7 +14,7 @@ from rastrum.functions.borders import Border, Pad, border
 from rastrum.functions.kernels import gradient_kernel, log_kernel
 from rastrum.operators.filtering import correlate, filter_each, filter_raster
 from rastrum.operators.padding import pad_raster
-from rastrum.operators.stencil import scatter
+from rastrum.operators.stencil import along, complete, scatter, shifted
 from rastrum.plans.strategy import by_image
 from rastrum.raster import Axis, Raster
 
@@ -46,20 +45,25 @@ def _extrema(raster: Raster, window: Sequence[int] | None, edges: bool | Sequenc
     edges = [edges] * n if isinstance(edges, bool) else list(edges)
     if len(window) != n or len(edges) != n:
         raise ValueError("window and edges need one entry for each dimension")
-    places = product(*[range(-(w // 2), w // 2 + 1) for w in window])
-    taps = [(at, {"__mid": not any(at)}) for at in places]
-    df, group = scatter(raster, taps, raster.axes)
-    v, mid = F.col(raster.value) * sign, F.col("__mid")
-    best = df.groupBy(*group).agg(
-        F.max(F.when(mid, v)).alias("__v"),
-        F.max(F.when(~mid, v)).alias("__m"),
-        F.max((F.isnan(v.cast("double")) | v.isNull()).cast("int")).alias("__bad"),
-    )
-    keep = (F.col("__bad") == 0) & (F.col("__m").isNull() | (F.col("__v") > F.col("__m")))
+    # The largest value of each window and how many pixels have it, along one dimension after the other
+    there = F.coalesce(F.col(raster.value).cast("double"), F.lit(float("nan"))) * sign
+    current = raster.with_df(raster.df.withColumns({"__v": F.when(F.isnan(there), float("nan")).otherwise(there)}).withColumns({"__m": F.col("__v"), "__n": F.lit(1)}))
+    for d, w in enumerate(window):
+        if w == 1:
+            continue
+        frame = along(current, d)
+        tops = [shifted(F.col("__m"), k, frame) for k in range(-(w // 2), w // 2 + 1)]
+        counts = [shifted(F.col("__n"), k, frame) for k in range(-(w // 2), w // 2 + 1)]
+        top = F.greatest(*tops)
+        many = reduce(lambda a, b: a + b, [F.when(t == F.col("__top"), n).otherwise(0) for t, n in zip([F.col(f"__t{k}") for k in range(len(tops))], [F.col(f"__c{k}") for k in range(len(tops))])])
+        df = current.df.withColumns({"__top": F.when(complete(current, d, frame), top), **{f"__t{k}": t for k, t in enumerate(tops)}, **{f"__c{k}": c for k, c in enumerate(counts)}})
+        df = df.withColumns({"__n": many, "__m": F.col("__top")}).drop("__top", *[f"__{x}{k}" for k in range(len(tops)) for x in "tc"])
+        current = current.with_df(df)
+    keep = (F.col("__v") == F.col("__m")) & (F.col("__n") == 1) & ~F.isnan("__v")
     for a, e in zip(raster.axes, edges):
         if not e:
             keep = keep & (F.col(a.name) > a.first) & (F.col(a.name) < a.last_column())
-    return best.where(keep).select(*raster.keys, *raster.names, (F.col("__v") * sign).alias(raster.value))
+    return current.df.where(keep).select(*raster.keys, *raster.names, raster.value)
 
 
 def find_local_maxima(raster: Raster, window: Sequence[int] | None = None, edges: bool | Sequence[bool] = True) -> DataFrame:

@@ -8,11 +8,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from rastrum.functions.borders import NA, Border, Extent, Fill, Inner, Pad, border
-from rastrum.functions.kernels import Kernel, OneD, Recursive, convolve_kernels
+from rastrum.functions.kernels import Kernel, Laplacian, OneD, Recursive, convolve_kernels
 from rastrum.operators.padding import pad_raster
 from rastrum.operators.recursive import filter_recursive
-from rastrum.operators.stencil import along, cropped, scatter, shifted
-from rastrum.plans.strategy import Factor, by_fourier, extents, factors_of
+from rastrum.operators.stencil import added, along, complete, cropped, scatter, shifted, whole_stencil
+from rastrum.operators.tiles import Spot, map_tiles
+from rastrum.plans.strategy import FOURIER_TAPS, Factor, by_fourier, by_image, by_tiles, extents, factors_of, in_tiles
 from rastrum.raster import Raster
 
 
@@ -30,12 +31,16 @@ def filter_raster(
 
     ``kernel``: a Kernel, OneD, Laplacian, array (centred) or Recursive, or a sequence applied in turn; the
     image is padded once by all extents together and shrinks with each factor. ``algorithm``:
-    "fir", or "fft" for images that fit a row; by itself the latter for floating-point images with a key and a factor of
-    more than 30 weights (an image that isn't finite is summed directly). A complex kernel gives a column of re and im. ``dtype``: Spark type of the result;
-    an overflow is an error under ANSI mode. ``roi``: closed index ranges; pixels that can't
-    matter are dropped before anything is shuffled. Integer images with integer kernels stay exact.
+    "fir", or "fft": by itself the latter for factors of more than 30 weights, if pixels or weights are floating-point
+    numbers (what isn't finite is summed directly). Images with a key that fit a row are taken whole there, others in tiles with
+    rims (overlap-save), and so is a signal without a key, which has no other lines to deal. A complex kernel gives a
+    column of re and im. ``dtype``: Spark type of the result; an overflow is an error under ANSI mode. ``roi``: closed index
+    ranges; pixels that can't matter are dropped before anything is shuffled. Types: booleans and integers widen to long, and
+    stay exact with integer kernels; decimals and whatever meets a floating-point kernel become double. A null pixel
+    is NaN among floating-point ones; a pixel without a row is an error.
     """
     by = border(by)
+    raster = widened(raster, by)
     many = list(kernel) if isinstance(kernel, tuple) else [kernel]
     if any(isinstance(k, Recursive) or k is None for k in many):
         out = _mixed(raster, many, by)
@@ -43,13 +48,19 @@ def filter_raster(
     else:
         factors = factors_of(kernel, len(raster.axes), separable)
         need = extents(factors, len(raster.axes))
+        if algorithm not in (None, "fir", "fft"):
+            raise ValueError(f"unknown algorithm {algorithm!r}")
         if any(np.iscomplexobj(f.weights) for f in factors):
-            return _complex(raster, factors, by, need, roi)
-        if algorithm == "fft" or algorithm is None and not isinstance(by, NA) and by.sizes is None and by_fourier(raster, factors):
+            out = _complex(raster, factors, by, need, roi, algorithm)
+            return out if dtype is None else out.with_df(out.df.withColumn(out.value, F.struct(*[F.col(f"{out.value}.{p}").cast(dtype).alias(p) for p in ("re", "im")])))
+        free = algorithm is None and not isinstance(by, NA) and by.sizes is None
+        if factors and (algorithm == "fft" or free and by_image(raster) and by_fourier(raster, factors)) and not by_tiles(raster):
             out = _fourier(raster, factors, by, need)
             out = out.region(**roi) if roi else out
-        elif algorithm not in (None, "fir"):
-            raise ValueError(f"unknown algorithm {algorithm!r}")
+        elif factors and by_tiles(raster) and (algorithm == "fft" or algorithm is None and in_tiles(raster, factors, isinstance(by, NA))):
+            out = _tiled(raster, factors, by, need, roi)
+        elif isinstance(kernel, Laplacian) and not isinstance(by, NA):
+            out = _laplacian(raster, kernel, by, need, roi)
         elif isinstance(by, NA):
             out = _available(raster, factors, by)
             out = out.region(**roi) if roi else out
@@ -94,11 +105,50 @@ def _direct(raster: Raster, factors: list[Factor], by: Border, need: Extent, roi
     return cropped(current, target)
 
 
-def _complex(raster: Raster, factors: list[Factor], by: Border, need: Extent, roi: dict | None) -> Raster:
-    """Real and imaginary sums from one scattering."""
+def widened(raster: Raster, by: Border) -> Raster:
+    """Pixels in the type that sums are taken in; nulls of floating-point pixels as NaN, unless the border has a rule for them."""
+    kind, v = raster.df.schema[raster.value].dataType.typeName(), F.col(raster.value)
+    if kind in ("boolean", "byte", "short", "integer"):
+        return raster.with_df(raster.df.withColumn(raster.value, v.cast("int").cast("long") if kind == "boolean" else v.cast("long")))
+    if kind == "decimal":
+        return raster.with_df(raster.df.withColumn(raster.value, v.cast("double")))
+    if kind in ("double", "float") and not isinstance(by, NA) and raster.rows is None:
+        return raster.with_df(raster.df.withColumn(raster.value, F.coalesce(v, F.lit(float("nan")).cast(kind))))
+    return raster
+
+
+def _laplacian(raster: Raster, kernel: Laplacian, by: Border, need: Extent, roi: dict | None) -> Raster:
+    """Both neighbours minus twice the centre along each flagged dimension: one window for each, nothing is scattered."""
+    current, target = _padded(raster, by, need, roi)
+    v, total = F.col("__here"), F.col(raster.value)
+    zero = F.lit(0).cast(current.df.schema[raster.value].dataType)
+    current = current.with_df(current.df.withColumn("__here", total).withColumn(raster.value, zero))
+    for d, flagged in enumerate(kernel.flags):
+        if flagged:
+            window = along(current, d)
+            sides = shifted(v, 1, window) + shifted(v, -1, window) - v * 2
+            there = complete(current, d, window)
+            # The rim along this dimension has no sides, and isn't needed along the others either
+            axes = [target[k] if k == d else a for k, a in enumerate(current.axes)]
+            current = cropped(current.with_df(current.df.withColumn(raster.value, F.when(there, total + sides))), axes)
+    return cropped(current.with_df(current.df.drop("__here")), target)
+
+
+def _complex(raster: Raster, factors: list[Factor], by: Border, need: Extent, roi: dict | None, algorithm: str | None) -> Raster:
+    """Real and imaginary sums from one scattering, or one Fourier filter for each part."""
     if isinstance(by, NA):
         raise ValueError("a complex kernel has no normalisation for missing pixels")
     whole = convolve_kernels(*[f.dense() if isinstance(f, OneD) else f for f in factors])
+    parts = {"re": Kernel(whole.weights.real, whole.origin), "im": Kernel(whole.weights.imag, whole.origin)}
+    if by_tiles(raster) and (algorithm == "fft" or algorithm is None and in_tiles(raster, [whole], False)):
+        out = _tiled(raster, list(parts.values()), by, need, roi, list(parts))
+        return out.with_df(out.df.withColumn(raster.value, F.struct("re", "im")).drop("re", "im"), value=raster.value)
+    if algorithm == "fft":
+        sides = [_fourier(raster, [k], by, need) for k in parts.values()]
+        on = [*raster.group, *raster.names]
+        re, im = (s.df.select(*on, F.col(s.value).alias(p)) for s, p in zip(sides, parts))
+        out = sides[0].with_df(re.join(im, on).select(*on, F.struct("re", "im").alias(raster.value)), value=raster.value)
+        return out.region(**roi) if roi else out
     current, target = _padded(raster, by, need, roi)
     df, group = scatter(current, [(at, {"__w": float(w.real), "__x": float(w.imag)}) for at, w in whole.taps()], target)
     v = F.col(raster.value)
@@ -106,6 +156,53 @@ def _complex(raster: Raster, factors: list[Factor], by: Border, need: Extent, ro
     return raster.with_df(df.groupBy(*group).agg(made.alias(raster.value)), target)
 
 
+def _tiled(raster: Raster, factors: list[Factor], by: Border, need: Extent, roi: dict | None, parts: list[str] | None = None) -> Raster:
+    """Tiles with their rims, each by one transform whose wrapped part is never read (overlap-save); integers with integer weights
+    are summed as they are. ``parts``: one result for each factor instead of one for all of them in turn."""
+    kernels = [f.dense() if isinstance(f, OneD) else f for f in factors]
+    kernels = [_covering(k) for k in (kernels if parts else [convolve_kernels(*kernels)])]
+    exact = all(k.integer for k in kernels) and raster.df.schema[raster.value].dataType.typeName() == "long"
+    if isinstance(by, NA):
+        (kernel,) = kernels
+        sizes = kernel.reach_sizes()
+        there = ~by.missing(F.col(raster.value))
+        marked = raster.with_df(raster.df.withColumn("__there", there.cast("double")).withColumn(raster.value, F.when(there, F.col(raster.value).cast("double")).otherwise(0.0)))
+
+        def ratio(blocks: list[np.ndarray], spot: Spot) -> list[np.ndarray]:
+            above, below = (correlate(np.pad(b, missing_rim(b, spot, sizes)), kernel) for b in blocks)
+            none = np.abs(below) <= 1e-12 * np.abs(kernel.weights).sum()  # as near to zero as a transform comes
+            return [np.where(none, np.nan, above) / np.where(none, 1, below)]
+
+        out = map_tiles(marked, ratio, sizes, raster.axes, values=[raster.value, "__there"], made=[raster.value], clipped=True)
+        return out.region(**roi) if roi else out
+    # The border may have sizes of its own, the tiles need no more than the kernel's reach
+    current, target = _padded(raster, by, need, roi)
+    reach = tuple((max(k.reach_sizes()[d][0] for k in kernels), max(k.reach_sizes()[d][1] for k in kernels)) for d in range(len(target)))
+    current = cropped(current, [a.grown(*r) for a, r in zip(target, reach)])
+
+    def filtered(blocks: list[np.ndarray], spot: Spot) -> list[np.ndarray]:
+        out = []
+        for k in kernels:
+            inside = tuple(slice(low - a, s - (high - b)) for s, (low, high), (a, b) in zip(blocks[0].shape, reach, k.reach_sizes()))
+            out.append(direct(blocks[0][inside], k) if exact else correlate(blocks[0][inside], k))
+        return out
+
+    return map_tiles(current, filtered, reach, target, made=parts or [raster.value], whole=exact)
+
+
+def missing_rim(block: np.ndarray, spot: Spot, sizes: Extent) -> list[tuple[int, int]]:
+    """How many of the pixels around the core the block doesn't have, as it ends where the raster does."""
+    return [(low - core.start, high - (n - core.stop)) for n, core, (low, high) in zip(block.shape, spot.core, sizes)]
+
+
+def _covering(k: Kernel) -> Kernel:
+    """The kernel with zeros up to displacement zero, where that lies outside."""
+    reach = tuple((min(0, a), max(0, b)) for a, b in k.reach())
+    weights = np.zeros(tuple(b - a + 1 for a, b in reach), k.weights.dtype)
+    weights[tuple(slice(low - a, low - a + s) for (a, _), (low, _), s in zip(reach, k.reach(), k.weights.shape))] = k.weights
+    return Kernel(weights, tuple(-a for a, _ in reach))
+
+
 def filter_each(raster: Raster, kernels: dict[str, tuple], by: Border) -> Raster | None:
     """One column for each named kernel, from one chain of windows. None where a kernel isn't one factor a dimension at most."""
     n = len(raster.axes)
@@ -124,7 +221,7 @@ def filter_each(raster: Raster, kernels: dict[str, tuple], by: Border) -> Raster
             for f in factors:
                 if f.dim == dim:
                     terms = [shifted(F.col(name), k - f.origin, window) * F.lit(_weight(w)) for k, w in enumerate(f.weights.tolist()) if w != 0]
-                    made[name] = reduce(lambda a, b: a + b, terms) if terms else F.col(name) * 0
+                    made[name] = F.when(complete(current, dim, window), reduce(lambda a, b: a + b, terms) if terms else F.col(name) * 0)
         axes = [target[d] if d <= dim else a for d, a in enumerate(current.axes)]
         current = cropped(current.with_df(current.df.withColumns(made) if made else current.df), axes)
     return current.with_df(current.df.drop(raster.value), value=next(iter(lists)))
@@ -135,10 +232,14 @@ def _weight(w) -> int | float:
 
 
 def _line(raster: Raster, f: OneD, axes: list) -> Raster:
+    weights = f.weights.tolist()
+    if len(weights) > 8 and len(set(weights)) == 1 and weights[0] != 0:  # a box: sums of any width in a few windows
+        summed = added(raster, [raster.value], f.dim, -f.origin, len(weights) - 1 - f.origin)
+        return cropped(summed.with_df(summed.df.withColumn(raster.value, F.col(raster.value) * F.lit(_weight(weights[0])))), axes)
     window, v = along(raster, f.dim), F.col(raster.value)
-    terms = [shifted(v, k - f.origin, window) * F.lit(_weight(w)) for k, w in enumerate(f.weights.tolist()) if w != 0]
+    terms = [shifted(v, k - f.origin, window) * F.lit(_weight(w)) for k, w in enumerate(weights) if w != 0]
     total = reduce(lambda a, b: a + b, terms) if terms else v * 0
-    return cropped(raster.with_df(raster.df.withColumn(raster.value, total)), axes)
+    return cropped(raster.with_df(raster.df.withColumn(raster.value, F.when(complete(raster, f.dim, window), total))), axes)
 
 
 def _dense(raster: Raster, f: Kernel, axes: list) -> Raster:
@@ -146,7 +247,7 @@ def _dense(raster: Raster, f: Kernel, axes: list) -> Raster:
     if not taps:
         taps = [((0,) * f.ndim, {"__w": 0})]
     df, group = scatter(raster, taps, axes)
-    summed = df.groupBy(*group).agg(F.sum(F.col(raster.value) * F.col("__w")).alias(raster.value))
+    summed = df.groupBy(*group).agg(F.when(whole_stencil(len(taps)), F.sum(F.col(raster.value) * F.col("__w"))).alias(raster.value))
     return raster.with_df(summed, axes)
 
 
@@ -163,29 +264,41 @@ def _available(raster: Raster, factors: list[Factor], by: NA) -> Raster:
     return raster.with_df(sums.select(*group, ratio.alias(raster.value)))
 
 
-def correlate(image: np.ndarray, kernel: Kernel) -> np.ndarray:
-    """Valid part of a correlation by Fourier transform; direct where a pixel isn't finite."""
+def smooth_size(n: int) -> int:
+    """The least 2^a 3^b that is n or more: what a transform takes least time for."""
+    best = 1 << max(0, n - 1).bit_length()
+    power = 1
+    while power < best:
+        best = min(best, power << max(0, -(-n // power) - 1).bit_length())
+        power *= 3
+    return best
+
+
+def direct(image: np.ndarray, kernel: Kernel) -> np.ndarray:
+    """Valid part of a correlation, weight by weight."""
     shape = tuple(s - k + 1 for s, k in zip(image.shape, kernel.weights.shape))
-    if not np.isfinite(image).all():
-        out = np.zeros(shape)
-        for at in np.ndindex(kernel.weights.shape):
-            if kernel.weights[at]:
-                out += image[tuple(slice(a, a + s) for a, s in zip(at, shape))] * kernel.weights[at]
-        return out
-    spectrum = np.fft.rfftn(image) * np.conj(np.fft.rfftn(kernel.weights, image.shape))
-    return np.fft.irfftn(spectrum, image.shape)[tuple(slice(0, s) for s in shape)]
+    out = np.zeros(shape, np.result_type(image, kernel.weights))
+    for at in np.ndindex(kernel.weights.shape):
+        if kernel.weights[at]:
+            out += image[tuple(slice(a, a + s) for a, s in zip(at, shape))] * kernel.weights[at]
+    return out
+
+
+def correlate(image: np.ndarray, kernel: Kernel) -> np.ndarray:
+    """Valid part of a correlation by Fourier transform; direct where there are few weights or a pixel isn't finite."""
+    if np.count_nonzero(kernel.weights) <= FOURIER_TAPS or not np.isfinite(image).all():
+        return direct(np.asarray(image, float), kernel)
+    shape = tuple(smooth_size(s) for s in image.shape)
+    spectrum = np.fft.rfftn(image, shape) * np.conj(np.fft.rfftn(kernel.weights, shape))
+    return np.fft.irfftn(spectrum, shape)[tuple(slice(0, s - k + 1) for s, k in zip(image.shape, kernel.weights.shape))]
 
 
 def _fourier(raster: Raster, factors: list[Factor], by: Border, need: Extent) -> Raster:
     if not factors:
         return raster
     whole = convolve_kernels(*[f.dense() if isinstance(f, OneD) else f for f in factors])
-    reach = tuple((min(0, a), max(0, b)) for a, b in whole.reach())
-    cover = tuple(b - a + 1 for a, b in reach)
-    weights = np.zeros(cover)
-    weights[tuple(slice(low - a, low - a + s) for (a, _), (low, _), s in zip(reach, whole.reach(), whole.weights.shape))] = whole.weights
-    kernel = Kernel(weights, tuple(-a for a, _ in reach))
-    sizes = tuple((-a, b) for a, b in reach)
+    kernel = _covering(whole)
+    sizes = kernel.reach_sizes()
     if isinstance(by, Inner):
         return raster.map_images(lambda x: correlate(x, kernel), tuple(a.grown(-low, -high) for a, (low, high) in zip(raster.axes, sizes)))
     if isinstance(by, NA):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +38,64 @@ def along(raster: Raster, dim: int) -> Window:
     return Window.partitionBy(*raster.group, *others).orderBy(raster.names[dim])
 
 
+MISSING = "the raster doesn't have one row for each of its pixels"
+
+
+def complete(raster: Raster, dim: int, window: Window) -> Column:
+    """True, or an error where a line has a gap, a pixel twice, or not all of its pixels."""
+    at, a = F.col(raster.names[dim]), raster.axes[dim]
+    before, after = F.lag(at).over(window), F.lead(at).over(window)
+    good = F.when(before.isNull(), at == a.first).otherwise(at == before + 1) & F.when(after.isNull(), at == a.last_column()).otherwise(F.lit(True))
+    return F.when(good, True).otherwise(F.raise_error(F.lit(MISSING)).cast("boolean"))
+
+
+def whole_stencil(taps: int) -> Column:
+    """True, or an error where not all pixels of a stencil have met; an aggregate."""
+    return F.when(F.count("*") == taps, True).otherwise(F.raise_error(F.lit(MISSING)).cast("boolean"))
+
+
+def _runs(raster: Raster, values: Sequence[str], dim: int, low: int, high: int, join: Callable[[Column, Column], Column], overlap: bool) -> Raster:
+    """Windows low..high of each line, put together from windows of 1, 8, 64.. pixels: a few window stages in one order, whatever the width."""
+    width, window = high - low + 1, along(raster, dim)
+    df, steps = raster.df, [1]
+    spare = {v: [v] for v in values}
+    while steps[-1] * 8 <= width:
+        made = {}
+        for v in values:
+            source = F.col(spare[v][-1])
+            parts = [shifted(source, k * steps[-1], window) for k in range(8)]
+            spare[v].append(f"__{v}_{steps[-1] * 8}")
+            made[spare[v][-1]] = reduce(join, parts)
+        df = df.withColumns(made)
+        steps.append(steps[-1] * 8)
+    made = {}
+    for v in values:
+        parts, at, left = [], low, width
+        for step, name in zip(steps[::-1], spare[v][::-1]):
+            while left >= step:
+                parts.append(shifted(F.col(name), at, window))
+                at, left = at + step, left - step
+            if overlap and left:  # the last part may begin earlier
+                parts.append(shifted(F.col(name), high - step + 1, window))
+                left = 0
+        made[v] = F.when(complete(raster, dim, window), reduce(join, parts))
+    extra = [n for names in spare.values() for n in names[1:]]
+    return raster.with_df(df.withColumns(made).drop(*extra))
+
+
+def added(raster: Raster, values: Sequence[str], dim: int, low: int, high: int) -> Raster:
+    """Sums of the pixels low..high around each place of a line; places without all of them get null."""
+    return _runs(raster, values, dim, low, high, lambda a, b: a + b, False)
+
+
+def least(raster: Raster, values: Sequence[str], dim: int, low: int, high: int) -> Raster:
+    return _runs(raster, values, dim, low, high, F.least, True)
+
+
+def greatest(raster: Raster, values: Sequence[str], dim: int, low: int, high: int) -> Raster:
+    return _runs(raster, values, dim, low, high, F.greatest, True)
+
+
 def cropped(raster: Raster, axes: Sequence[Axis]) -> Raster:
     df = raster.df
     for a, old in zip(axes, raster.axes):

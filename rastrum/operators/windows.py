@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 
 from rastrum.functions.borders import Border, Fill, Inner, Pad, border, source_index
 from rastrum.operators.padding import pad_raster
-from rastrum.operators.stencil import along, cropped, scatter
-from rastrum.plans.strategy import by_image
+from rastrum.operators.filtering import widened
+from rastrum.operators.stencil import MISSING, added, cropped, greatest, least, scatter, whole_stencil
+from rastrum.operators.tiles import Spot, box_sums, map_tiles, running, select_ranks
+from rastrum.plans.strategy import by_image, by_tiles
 from rastrum.raster import Axis, Raster
 
-#: Aggregates of a window that can be taken along one dimension after the other.
-SEPARABLE: dict[str, Callable[[Column], Column]] = {"min": F.min, "max": F.max, "sum": F.sum}
+#: What can be taken along one dimension after the other.
+SEPARABLE: dict[str, Callable] = {"min": least, "max": greatest, "sum": added}
+#: Beyond these pixels of a window, values are selected by rank instead of sorting each window.
+SORTED_WINDOW = 128
 Span = tuple[int, int]
 #: The same over the last axis of an array of windows, for images that are taken whole (a missing pixel is NaN there).
 BY_IMAGE: dict[str, Callable[[np.ndarray, float | None], np.ndarray]] = {
@@ -96,7 +100,9 @@ def map_window(
     Names: min, max, sum, mean, extrema (column of min and max), median, lower_median, nan_median, quantile
     (``q``), first, count, std. A callable of (value, place) columns is an aggregate of
     your own; with ``python`` it gets the window as a flat numpy array, first dimension
-    fastest, in Arrow batches. Images with a key that fit a row are taken whole for these. Separable names take one window stage per dimension. ``indices``: only these, numbered
+    fastest, in Arrow batches. Images with a key that fit a row are taken whole for these, others in tiles with rims; beyond
+    SORTED_WINDOW pixels medians and quantiles take the same time whatever the window. Separable names take a few window stages
+    per dimension, whatever the width. A null pixel is NaN among floating-point ones, a pixel without a row an error. ``indices``: only these, numbered
     from 0 in the result where the step isn't 1. With ``local_border`` a Pad style continues the part of the
     window that lies inside the image, not the image; the window must hold its centre then, and reflect
     fails where only one pixel is inside.
@@ -107,6 +113,8 @@ def map_window(
     if by.sizes and not isinstance(by, Inner):
         raise ValueError("the window decides the size of its border")
     span = spans(window, len(raster.axes), even or function == "extrema")
+    if raster.df.schema[raster.value].dataType.typeName() in ("double", "float", "decimal") or function in ("sum", "mean"):
+        raster = widened(raster, by)
     if local_border:
         if not isinstance(by, Pad) or any(low > 0 or high < 0 for low, high in span):
             raise ValueError("a local border takes a Pad style and a window around its centre")
@@ -117,17 +125,21 @@ def map_window(
     if (python or function in BY_IMAGE) and returns == "double" and by_image(raster):
         out = _by_image(raster, function, span, by, need, target, q)
         return strided(out, indices) if indices else out
+    line = len(raster.axes) == 1 and not raster.keys and function in ("min", "max", "sum", "mean")
+    if (python or function in BY_IMAGE or line) and returns == "double" and by_tiles(raster):
+        out = _by_tiles(raster, function, span, by, need, target, q)
+        return strided(out, indices) if indices else out
     padded = raster if isinstance(by, Inner) else pad_raster(raster, by, need) if any(s for p in need for s in p) else raster
     names = [function] if isinstance(function, str) else []
     if names and names[0] in SEPARABLE:
-        out = _by_dimension(padded, {raster.value: SEPARABLE[function]}, span, target)
+        out = _by_dimension(padded, {SEPARABLE[function]: [raster.value]}, span, target)
     elif names == ["mean"]:
         size = int(np.prod([high - low + 1 for low, high in span]))
-        out = _by_dimension(padded, {raster.value: F.sum}, span, target)
+        out = _by_dimension(padded, {added: [raster.value]}, span, target)
         out = out.with_df(out.df.withColumn(out.value, F.col(out.value) / F.lit(float(size))))
     elif names == ["extrema"]:
         both = padded.with_df(padded.df.withColumn("__high", F.col(raster.value)))
-        out = _by_dimension(both, {raster.value: F.min, "__high": F.max}, span, target)
+        out = _by_dimension(both, {least: [raster.value], greatest: ["__high"]}, span, target)
         made = F.struct(F.col(raster.value).alias("min"), F.col("__high").alias("max"))
         out = out.with_df(out.df.withColumn(out.value, made).drop("__high"))
     else:
@@ -135,38 +147,72 @@ def map_window(
     return strided(out, indices) if indices else out
 
 
+def window_results(x: np.ndarray, function: str | Callable, sizes: list[int], q: float | None) -> np.ndarray:
+    """``function`` of every window of an array. Windows are views, some rows of them at a time; values of a rank in large windows are selected."""
+    n, size = x.ndim, int(np.prod(sizes))
+    if function in ("min", "max"):
+        return running(x, sizes, np.fmin if function == "min" else np.maximum)
+    if function in ("sum", "mean") and np.isfinite(x).all():
+        return box_sums(x, sizes) / (size if function == "mean" else 1)
+    if size > SORTED_WINDOW and function in ("median", "lower_median", "quantile", "nan_median"):
+        bad = box_sums(np.isnan(x).astype(np.int64), sizes)
+        count = size - bad if function == "nan_median" else size
+        at = (count - 1) * q if function == "quantile" else (count - 1) // 2 if function == "lower_median" else (count - 1) / 2
+        low = np.maximum(np.floor(at), 0).astype(np.int64)
+        lower, upper = select_ranks(x, sizes, [low, np.minimum(low + 1, np.maximum(count - 1, 0))]) if function != "lower_median" else (y := select_ranks(x, sizes, [low])) + y
+        share = at - np.floor(at)
+        out = np.where(share == 0, lower, lower + share * (upper - lower))
+        return np.where(bad == size if function == "nan_median" else (bad > 0) & (function != "lower_median"), np.nan, out)
+    views = np.lib.stride_tricks.sliding_window_view(x, sizes)
+    views = views.transpose(*range(n), *reversed(range(n, 2 * n)))  # first dimension fastest
+    call = {"sum": lambda w, q: w.sum(-1), "mean": lambda w, q: w.mean(-1)} | BY_IMAGE
+    step = max(1, 2_000_000 // int(size * np.prod(views.shape[1:n])))
+    out = np.empty(views.shape[:n])
+    for low in range(0, len(views), step):
+        part = views[low : low + step]
+        flat = part.reshape(*part.shape[:n], -1)
+        out[low : low + step] = call[function](flat, q) if isinstance(function, str) else np.apply_along_axis(function, -1, flat)
+    return out
+
+
+def _aligned(x: np.ndarray, span: list[Span], need, counts: Sequence[int]) -> np.ndarray:
+    """The part of a padded array that windows of ``counts`` results read: a window may begin after its centre, or end before it."""
+    starts = [low + before for (low, _), (before, _) in zip(span, need)]
+    return x[tuple(slice(s, s + c + high - low) for s, c, (low, high) in zip(starts, counts, span))]
+
+
 def _by_image(raster: Raster, function, span: list[Span], by: Border, need, target: list[Axis], q) -> Raster:
-    """Windows as views of the padded image, some rows of it at a time."""
     sizes = [high - low + 1 for low, high in span]
-    skip = [low + before for (low, _), (before, _) in zip(span, need)]  # a window that begins after its centre
-    step = max(1, 2_000_000 // int(np.prod(sizes) * np.prod([len(a) for a in target[1:]])))
-    n = len(target)
 
     def run(x: np.ndarray) -> np.ndarray:
         if isinstance(by, Fill):
             x = np.pad(x, need, constant_values=float(by.value))
         elif isinstance(by, Pad) and any(s for pair in need for s in pair):
             x = np.pad(x, need, mode=MODES[by.style])
-        views = np.lib.stride_tricks.sliding_window_view(x, sizes)[tuple(slice(s, s + len(a)) for s, a in zip(skip, target))]
-        views = views.transpose(*range(n), *reversed(range(n, 2 * n)))  # first dimension fastest
-        out = np.empty(views.shape[:n])
-        for low in range(0, len(views), step):
-            part = views[low : low + step]
-            flat = part.reshape(*part.shape[:n], -1)
-            out[low : low + step] = BY_IMAGE[function](flat, q) if isinstance(function, str) else np.apply_along_axis(function, -1, flat)
-        return out
+        return window_results(_aligned(x, span, need, [len(a) for a in target]), function, sizes, q)
 
     made = raster.map_images(run, tuple(target))
     return made.with_df(made.df.withColumnRenamed("v", raster.value), value=raster.value)
 
 
-def _by_dimension(raster: Raster, values: dict[str, Callable], span: list[Span], target: list[Axis]) -> Raster:
+def _by_tiles(raster: Raster, function, span: list[Span], by: Border, need, target: list[Axis], q) -> Raster:
+    sizes = [high - low + 1 for low, high in span]
+    padded = raster if isinstance(by, Inner) or not any(s for p in need for s in p) else pad_raster(raster, by, need)
+
+    def run(blocks: list[np.ndarray], spot: Spot) -> list[np.ndarray]:
+        counts = [c.stop - c.start for c in spot.core]
+        return [window_results(_aligned(blocks[0], span, need, counts), function, sizes, q)]
+
+    return map_tiles(padded, run, need, target)
+
+
+def _by_dimension(raster: Raster, values: dict[Callable, list[str]], span: list[Span], target: list[Axis]) -> Raster:
     for dim, (low, high) in enumerate(span):
-        window = along(raster, dim).rowsBetween(low, high)
-        df = raster.df.withColumns({name: f(F.col(name)).over(window) for name, f in values.items()})
+        for taken, columns in values.items():
+            raster = taken(raster, columns, dim, low, high)
         axes = list(raster.axes)
         axes[dim] = target[dim]
-        raster = cropped(raster.with_df(df), axes)
+        raster = cropped(raster, axes)
     return raster
 
 
@@ -206,10 +252,11 @@ def _whole(raster: Raster, function, span: list[Span], target: list[Axis], q, re
             return pd.Series([function(np.asarray(w)) for w in windows])
 
         listed = df.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(o.alias("o"), v.alias("v")))).alias("__w"))
-        made = listed.select(*group, call(F.col("__w.v")).alias(raster.value))
+        full = F.when(F.size("__w") == len(taps), F.col("__w.v")).otherwise(F.raise_error(F.lit(MISSING)))
+        made = listed.select(*group, call(full).alias(raster.value))
     else:
         f = aggregates(function, q) if isinstance(function, str) else function
-        made = df.groupBy(*group).agg(f(v, o).alias(raster.value))
+        made = df.groupBy(*group).agg(F.when(whole_stencil(len(taps)), f(v, o)).alias(raster.value))
     return raster.with_df(made, target)
 
 

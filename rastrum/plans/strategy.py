@@ -63,5 +63,24 @@ def by_image(raster: Raster) -> bool:
     return bool(raster.keys) and not any(a.ragged for a in raster.axes) and int(np.prod(raster.shape)) <= IMAGE_PIXELS and kind in ("double", "float")
 
 
+def by_tiles(raster: Raster) -> bool:
+    """Whether the raster's images may be dealt in tiles: numbers, of one size, and without a key or too large for a row."""
+    kind = raster.df.schema[raster.value].dataType.typeName()
+    plain = kind in ("double", "float", "long", "integer", "short", "byte") and not any(a.ragged for a in raster.axes)
+    return plain and (not raster.keys or int(np.prod(raster.shape)) > IMAGE_PIXELS)
+
+
+def in_tiles(raster: Raster, factors: Sequence[Factor], missing: bool) -> bool:
+    """Whether tiles take less than windows along lines or scattered sums: many weights, or one line only."""
+    if len(raster.axes) == 1 and not raster.keys:
+        return True
+    if missing:
+        factors = [f.dense() if isinstance(f, OneD) else f for f in factors]
+        return int(np.prod([sum(len(f.weights.reshape(-1)) if f.weights.shape[d] > 1 else 0 for f in factors) + 1 for d in range(len(raster.axes))])) > FOURIER_TAPS
+    many = any(isinstance(f, Kernel) and np.count_nonzero(f.weights) > FOURIER_TAPS for f in factors)
+    exact = raster.df.schema[raster.value].dataType.typeName() not in ("double", "float") and all(np.issubdtype(f.weights.dtype, np.integer) for f in factors)
+    return many and not exact
+
+
 def by_fourier(raster: Raster, factors: Sequence[Factor]) -> bool:
     return by_image(raster) and any(np.count_nonzero(f.weights) > FOURIER_TAPS for f in factors)
