@@ -26,6 +26,8 @@ from rastrum.llm.frames import map_arrow, skew_join, table, written
 from rastrum.llm.vectors import cosines, matrix, part_rule, unit
 
 NEAR = 5
+#: Most components of all vectors that the index is fitted on (on the driver).
+SAMPLE_NUMBERS = 4_000_000
 BLOCK = 4096
 
 
@@ -78,9 +80,13 @@ class Index:
         """Sets the least number of probed lists with which ``aim`` of the true neighbours of some ``others`` lie in them, and a
         fifth more; and a shortlist (256 to 2048) in which each list's coded order keeps as many."""
         pick = others[:queries]
-        s = x[pick] @ x.T
-        s[np.arange(len(pick)), pick] = -2
-        true = np.argpartition(-s, min(NEAR, len(x) - 1) - 1, 1)[:, : min(NEAR, len(x) - 1)] if len(x) > 1 else np.zeros((len(pick), 0), int)
+        near = min(NEAR, len(x) - 1)
+        true = np.zeros((len(pick), near), int)
+        for low in range(0, len(pick) if near else 0, 16):
+            some = pick[low : low + 16]
+            s = x[some] @ x.T
+            s[np.arange(len(some)), some] = -2
+            true[low : low + 16] = np.argpartition(s, len(x) - near, 1)[:, len(x) - near :]
         home, codes = self.encode(x)
         place = np.argsort(np.argsort(-(x[pick] @ self.centroids.T), 1), 1)
         need = np.sort(np.take_along_axis(place, home[true], 1).ravel()) + 1
@@ -127,10 +133,11 @@ def nearest(vectors: DataFrame, query_mod: int = 50, sample: int = 100_000) -> D
     n = every.count()
     if n == 0:
         return spark.createDataFrame([], schema)
-    share = min(1.0, sample / n)
+    width = every.select(F.size("embedding")).first()[0]
+    share = min(1.0, min(sample, SAMPLE_NUMBERS // width) / n)
     drawn = every if share == 1 else every.where(F.xxhash64("cid") < int((2 * share - 1) * 2.0**63))
-    fitted = drawn.select("cid", "embedding").toPandas().sort_values("cid")  # about ``sample`` rows at most
-    index = Index.fit(matrix(list(fitted["embedding"])), max(1, min(4096, int(n**0.5 / 2)) if n >= 512 else 1))
+    fitted = drawn.select("cid", "embedding").toArrow().sort_by("cid")  # about ``sample`` rows or SAMPLE_NUMBERS at most
+    index = Index.fit(matrix(fitted.column("embedding")), max(1, min(4096, int(n**0.5 / 2)) if n >= 512 else 1))
     shared = spark.sparkContext.broadcast(index)  # bounded by 4096 lists and 256 words a part
 
     def place(batches: Iterable) -> Iterator[dict[str, list]]:
