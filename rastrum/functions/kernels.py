@@ -278,6 +278,15 @@ def log_kernel(sigmas: Sequence[float] | float) -> Kernel:
     return Kernel(scale * bend * np.exp(-sum(g**2 / s**2 for g, s in zip(x, sigmas)) / 2), tuple(half))
 
 
+def log_terms(sigmas: Sequence[float] | float) -> list[tuple[OneD, ...]]:
+    """The Laplacian of Gaussian as a sum: for each dimension, factors that are bent along it and plain along the others."""
+    sigmas = (sigmas, sigmas) if np.isscalar(sigmas) else tuple(sigmas)
+    x = [np.arange(-(math.ceil(8.5 * s) // 2), math.ceil(8.5 * s) // 2 + 1) for s in sigmas]
+    plain = [np.exp(-(g**2) / (2 * s**2)) / (s * math.sqrt(2 * math.pi)) for g, s in zip(x, sigmas)]
+    bent = [(g**2 / s**4 - 1 / s**2) * p for g, s, p in zip(x, sigmas, plain)]
+    return [factored(*[bent[e] if e == d else plain[e] for e in range(len(sigmas))]) for d in range(len(sigmas))]
+
+
 def laplacian2d(alpha: float = 0) -> Kernel:
     corner, edge = alpha / (1 + alpha), (1 - alpha) / (1 + alpha)
     return centered([[corner, edge, corner], [edge, -4 / (1 + alpha), edge], [corner, edge, corner]])
@@ -312,18 +321,15 @@ def moffat(alpha: float, beta: float, size: int | None = None) -> Kernel:
 
 
 def recursive(forward: Sequence[float], scale: float, backward: Sequence[float] | None = None, edge: np.ndarray | None = None) -> Recursive:
-    """Coefficients of length three; the right-edge matrix follows from them if they are the same both ways."""
-    a1, a2, a3 = forward
+    """Coefficients of length three, the same both ways by default; the right-edge matrix follows from them."""
+    backward = tuple(forward) if backward is None else tuple(backward)
     if edge is None:
-        if backward is not None and tuple(backward) != tuple(forward):
-            raise ValueError("give the edge matrix for coefficients that differ")
-        below = (1 + a1 - a2 + a3) * (1 - a1 - a2 - a3) * (1 + a2 + (a1 - a3) * a3)
-        edge = np.array([
-            [-a3 * a1 + 1 - a3**2 - a2, (a3 + a1) * (a2 + a3 * a1), a3 * (a1 + a3 * a2)],
-            [a1 + a3 * a2, -(a2 - 1) * (a2 + a3 * a1), -(a3 * a1 + a3**2 + a2 - 1) * a3],
-            [a3 * a1 + a2 + a1**2 - a2**2, a1 * a2 + a3 * a2**2 - a1 * a3**2 - a3**3 - a3 * a2 + a3, a3 * (a1 + a3 * a2)],
-        ]) / below
-    return Recursive(tuple(forward), tuple(forward if backward is None else backward), scale, edge)
+        # Beyond the end the forward values follow their own recursion, one step of which is ``step``; what the backward one makes
+        # of them all is its power series at that matrix, so (1 - b1 z - b2 z^2 - b3 z^3)^-1 with z = step
+        step = np.array([forward, (1, 0, 0), (0, 1, 0)], float)
+        gathered = np.linalg.inv(np.eye(3) - sum(b * np.linalg.matrix_power(step, k + 1) for k, b in enumerate(backward)))
+        edge = np.stack([(gathered @ np.linalg.matrix_power(step, k))[0] for k in range(3)])
+    return Recursive(tuple(forward), backward, scale, edge)
 
 
 def iir_gaussian(sigma: float, warn: bool = True) -> Recursive | None:

@@ -11,10 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rastrum.functions.borders import Border, Pad, border
-from rastrum.functions.kernels import gradient_kernel, log_kernel
+from rastrum.functions.kernels import gradient_kernel, log_kernel, log_terms
 from rastrum.operators.filtering import correlate, filter_each, filter_raster
-from rastrum.operators.padding import pad_raster
-from rastrum.operators.stencil import along, complete, scatter, shifted
+from rastrum.operators.stencil import along, complete, shifted
 from rastrum.plans.strategy import by_image
 from rastrum.raster import Axis, Raster
 
@@ -88,14 +87,13 @@ def blob_log(
     Returns keys, place, sigma and radius (arrays; sigma times the square root of two), amplitude. ``edges``: for the scale
     axis and each dimension, whether extrema at the ends count (default: scales yes, places no).
     ``threshold`` is relative to the largest magnitude of the image; 0 keeps all. Images with a key are taken
-    whole, all scales at a time; one image without a key goes through one scattered sum.
+    whole, all scales at a time; for others all scales go through one chain of windows, as sums of separable terms.
     """
     n = len(raster.axes)
     shape = [1.0] * n if shape is None else list(shape)
     scales = sorted(scales)
     flags = [True] + [False] * n if edges is None else [edges] * (n + 1) if isinstance(edges, bool) else list(edges)
     kernels = [log_kernel([s * f for f in shape]) for s in scales]
-    need = tuple((max(-k.reach()[d][0] for k in kernels), max(k.reach()[d][1] for k in kernels)) for d in range(n))
     places = (Axis("__s", 0, len(scales) - 1), *raster.axes)
     whole = raster.with_df(raster.df.withColumn(raster.value, F.col(raster.value).cast("double")))
     if by_image(whole):
@@ -105,10 +103,10 @@ def blob_log(
         cube = whole.map_images(stacked, places)
         cube = cube.with_df(cube.df.withColumnRenamed("v", "amplitude"), value="amplitude")
     else:
-        padded = pad_raster(raster, Pad("reflect"), need)
-        taps = [(at, {"__s": s, "__w": -scales[s] * float(w)}) for s, k in enumerate(kernels) for at, w in k.taps()]
-        df, group = scatter(padded, taps, raster.axes)
-        stack = df.groupBy(*raster.group, "__s", *raster.names).agg(F.sum(F.col(raster.value) * F.col("__w")).alias("amplitude"))
+        terms = {f"__{s}_{d}": t for s, sigma in enumerate(scales) for d, t in enumerate(log_terms([sigma * f for f in shape]))}
+        chain = filter_each(whole, terms, Pad("reflect"))
+        levels = [F.struct(F.lit(s).alias("__s"), (reduce(lambda a, b: a + b, [F.col(f"__{s}_{d}") for d in range(n)]) * -sigma).alias("amplitude")) for s, sigma in enumerate(scales)]
+        stack = chain.df.select(*raster.group, *raster.names, F.explode(F.array(*levels)).alias("__e")).select(*raster.group, *raster.names, "__e.*")
         cube = Raster(stack, raster.keys, places, "amplitude", raster.carried)
     found = _extrema(cube, [3] * (n + 1), flags, 1)
     sigma = F.element_at(F.array(*[F.array(*[F.lit(float(s * f)) for f in shape]) for s in scales]), F.col("__s") + 1)

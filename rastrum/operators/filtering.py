@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
@@ -112,8 +113,8 @@ def widened(raster: Raster, by: Border) -> Raster:
         return raster.with_df(raster.df.withColumn(raster.value, v.cast("int").cast("long") if kind == "boolean" else v.cast("long")))
     if kind == "decimal":
         return raster.with_df(raster.df.withColumn(raster.value, v.cast("double")))
-    if kind in ("double", "float") and not isinstance(by, NA) and raster.rows is None:
-        return raster.with_df(raster.df.withColumn(raster.value, F.coalesce(v, F.lit(float("nan")).cast(kind))))
+    if kind in ("double", "float") and not isinstance(by, NA):
+        return replace(raster, df=raster.df.withColumn(raster.value, F.coalesce(v, F.lit(float("nan")).cast(kind))))  # array rows stay: nulls are NaN there anyway
     return raster
 
 

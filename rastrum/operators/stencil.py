@@ -42,10 +42,10 @@ MISSING = "the raster doesn't have one row for each of its pixels"
 
 
 def complete(raster: Raster, dim: int, window: Window) -> Column:
-    """True, or an error where a line has a gap, a pixel twice, or not all of its pixels."""
+    """True, or an error where a line has a gap, a pixel twice, or not all of its pixels. Both sides of a gap tell of it, as one may be cropped."""
     at, a = F.col(raster.names[dim]), raster.axes[dim]
     before, after = F.lag(at).over(window), F.lead(at).over(window)
-    good = F.when(before.isNull(), at == a.first).otherwise(at == before + 1) & F.when(after.isNull(), at == a.last_column()).otherwise(F.lit(True))
+    good = F.when(before.isNull(), at == a.first).otherwise(at == before + 1) & F.when(after.isNull(), at == a.last_column()).otherwise(after == at + 1)
     return F.when(good, True).otherwise(F.raise_error(F.lit(MISSING)).cast("boolean"))
 
 

@@ -29,7 +29,7 @@ class Spot:
     ends: tuple[tuple[bool, bool], ...]
 
 
-def tile_sides(target: Sequence[Axis], need: Extent, pixels: int = TILE_PIXELS) -> list[int]:
+def tile_sides(target: Sequence[Axis], need: Extent, pixels: int) -> list[int]:
     """Sides of equal length but for short dimensions, and at least as long as the rim is wide."""
     sides, left = [0] * len(target), list(range(len(target)))
     while left:
@@ -52,7 +52,7 @@ def map_tiles(
     made: Sequence[str] | None = None,
     whole: bool = False,
     clipped: bool = False,
-    pixels: int = TILE_PIXELS,
+    pixels: int | None = None,
 ) -> Raster:
     """``function`` on every tile of the axes ``target``: it gets one array for each of ``values`` (the tile and ``need`` pixels
     around it) and gives the tile's results, one array for each of ``made``. ``raster`` has all pixels that are needed, or,
@@ -60,7 +60,7 @@ def map_tiles(
     values, keys, names = list(values or [raster.value]), list(raster.keys), list(raster.names)
     made = list(made or [raster.value])
     axes = list(target)
-    sides = tile_sides(axes, need, pixels)
+    sides = tile_sides(axes, need, pixels or TILE_PIXELS)
     many = [max(1, -(-len(a) // s)) for a, s in zip(axes, sides)]
     widths = [s + low + high for s, (low, high) in zip(sides, need)]
     kind = "long" if whole else "double"

@@ -182,15 +182,15 @@ def through_files(spark: SparkSession, d: str) -> DataFrame:
 def image_files(spark: SparkSession, d: str) -> DataFrame:
     """Embeddings written as small bitmap files and read as images (blue, green, red along c)."""
     folder = S.scratch(spark)
-    S.write_bitmaps(S.table(spark, d, "embeddings").where("vec_id < 20"), "vec_id", "embedding", (8, 8), folder)
+    S.write_bitmaps(S.table(spark, d, "embeddings"), "vec_id", "embedding", (8, 8), folder)
     r = S.read_images(spark, folder, 8, 8, 3)
-    name = F.regexp_extract("origin", r"/(\d+)\.bmp$", 1).cast("long")
+    name = F.regexp_extract("origin", r"vec_id=(\d+)/", 1).cast("long")
     return filter_raster(r, K.box(3, 3, 1), "replicate").df.select(name.alias("vec_id"), "i", "j", "c", (F.round("v", 6) + F.lit(0.0)).alias("o"))
 
 
 add("sink_source_parquet", through_files, O.fir(O.IMG8, HALVES, "reflect", D8, KEY))
 add("source_image_files", image_files,
-    f"select x.vec_id, x.i, x.j, cast(c as int) as c, x.o from ({O.fir(f'select vec_id, i, j, greatest(0, least(255, floor(v * 100 + 128))) as v from ({O.IMG8}) where vec_id < 20', BOX3, 'replicate', D8, KEY)}) x, range(0, 3) t(c)")
+    f"select x.vec_id, x.i, x.j, cast(c as int) as c, x.o from ({O.fir(f'select vec_id, i, j, greatest(0, least(255, floor(v * 100 + 128))) as v from ({O.IMG8})', BOX3, 'replicate', D8, KEY)}) x, range(0, 3) t(c)")
 
 
 # Recursive filters

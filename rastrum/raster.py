@@ -107,12 +107,24 @@ class Raster:
         df = df.dropna(subset=names)
         for a in axes:
             df = df.withColumn(a.name, F.when(a.contains(F.col(a.name)), F.col(a.name)).otherwise(F.raise_error(F.lit(f"a row lies outside axis {a.name}"))))
-        cells = df.groupBy(*keys, *names).agg(value.alias("__v"))
-        grid = cells.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
-        for a in axes:
-            grid = grid.withColumn(a.name, F.explode(F.sequence(F.lit(a.first), F.lit(a.last)))).where(a.contains(F.col(a.name)))
-        dense = grid.join(cells, [*keys, *names], "left").select(*keys, *names, F.coalesce("__v", F.lit(0)).alias("v"))
-        return Raster(dense, keys, axes)
+        cells = df.groupBy(*keys, *names).agg(value.alias("v"))
+        return Raster(cells, keys, axes).filled(0)
+
+    def filled(self, value: float | int | str | None) -> Raster:
+        """The raster with a row for every pixel: ``value`` where there was none. Images without a key have their lines made by many tasks."""
+        cells = self.df.withColumnRenamed(self.value, "__v").withColumn("__there", F.lit(True))
+        first = self.axes[0]
+        if self.group or first.ragged:
+            grid = self.df.select(*self.group).distinct() if self.group else self.df.sparkSession.range(1).select()
+            lines, left = grid, self.axes
+        else:
+            lines, left = self.df.sparkSession.range(first.first, first.last + 1).select(F.col("id").cast("int").alias(first.name)), self.axes[1:]
+        for a in left:
+            lines = lines.withColumn(a.name, F.explode(F.sequence(F.lit(a.first), a.last_column().cast("int")))).where(a.contains(F.col(a.name)))
+        on = [*self.group, *self.names]
+        kind = self.df.schema[self.value].dataType
+        dense = lines.join(cells, on, "left").select(*on, F.when(F.col("__there"), F.col("__v")).otherwise(F.lit(value).cast(kind)).alias(self.value))
+        return self.with_df(dense)
 
     def pixels(self) -> DataFrame:
         return self.df.select(*self.keys, *self.names, self.value)
@@ -128,9 +140,10 @@ class Raster:
     def map_images(self, function: Callable[[np.ndarray], np.ndarray], axes: tuple[Axis, ...] | None = None) -> Raster:
         """``function`` on whole images as numpy arrays, in Arrow batches; its result has ``axes``.
 
-        An image is one row here, so this is for images that fit a task.
+        An image is one row here, so this is for images that fit a task. A row without an array has no image, and none
+        comes out; a null pixel is NaN; an array of another length is an error.
         """
-        shape, axes = self.shape, axes or self.axes
+        shape, size, axes = self.shape, int(np.prod(self.shape)), axes or self.axes
         out_shape = tuple(len(a) for a in axes)
         rows = self.array_rows()
         schema = to_arrow_schema(rows.schema)
@@ -138,6 +151,10 @@ class Raster:
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                batch = batch.filter(batch.column(place).is_valid())
+                sizes = batch.column(place).value_lengths().to_numpy(zero_copy_only=False)
+                if (sizes != size).any():
+                    raise ValueError(f"the raster doesn't have one row for each of its pixels: {size} are needed, an image has {sizes[sizes != size][0]}")
                 images = batch.column(place).flatten().to_numpy(zero_copy_only=False).reshape(-1, *shape)
                 made = np.stack([np.asarray(function(x), float).reshape(out_shape) for x in images]) if len(images) else np.zeros((0, *out_shape))
                 flat = pa.array(made.reshape(-1))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import struct
 import tempfile
 import uuid
@@ -63,9 +62,15 @@ def shipments(spark: SparkSession, sf_dir: str) -> Raster:
     return Raster.from_counts(lines, (), axes, F.count("*").cast("long"))
 
 
-def read_images(spark: SparkSession, path: str, height: int, width: int, channels: int) -> Raster:
-    """Image files of one size as rasters (keys: origin), with the channel as last axis ``c``; values 0..255."""
-    images = spark.read.format("image").load(path).select("image.*").where((F.col("height") == height) & (F.col("width") == width) & (F.col("nChannels") == channels))
+def read_images(spark: SparkSession, path: str, height: int, width: int, channels: int, others: str = "error") -> Raster:
+    """Image files of one size as rasters (keys: origin), with the channel as last axis ``c``; values 0..255. Files of another
+    size, or that are no images, are an error, or left out with ``others="skip"``."""
+    if others not in ("error", "skip"):
+        raise ValueError(f"others: error or skip, not {others!r}")
+    files = spark.read.format("image").option("dropInvalid", others == "skip").option("recursiveFileLookup", True).load(path).select("image.*")
+    fits = F.coalesce((F.col("height") == height) & (F.col("width") == width) & (F.col("nChannels") == channels), F.lit(False))
+    size = F.format_string(f"%s is %s x %s x %s, not {height} x {width} x {channels}", "origin", "height", "width", "nChannels")
+    images = files.where(fits) if others == "skip" else files.withColumn("data", F.when(fits, F.col("data")).otherwise(F.raise_error(size).cast("binary")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,7 +82,10 @@ def read_images(spark: SparkSession, path: str, height: int, width: int, channel
 
 
 def write_bitmaps(df: DataFrame, key: str, column: str, shape: tuple[int, int], folder: str) -> None:
-    """One uncompressed bitmap file of 24 bits for each row, grey: floor(100 v + 128) within 0..255; files are named by key."""
+    """One uncompressed bitmap file of 24 bits for each row, grey: floor(100 v + 128) within 0..255, in a folder named by its key.
+
+    Spark's text writer writes them, so that any store will do; the line end after a bitmap lies beyond the size in its header.
+    """
     height, width = shape
     line = -(-3 * width // 4) * 4
     size = line * height
@@ -85,25 +93,34 @@ def write_bitmaps(df: DataFrame, key: str, column: str, shape: tuple[int, int],
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            files = []
+            for values in batch.column(1).to_pylist():
                 grey = np.clip(np.floor(np.array(values, float) * 100 + 128), 0, 255).astype(np.uint8).reshape(shape)[::-1]  # lowest line first
                 lines = np.zeros((height, line), np.uint8)
                 lines[:, : 3 * width] = np.repeat(grey, 3, axis=1)
-                with open(f"{folder}/{name}.bmp", "wb") as f:
-                    f.write(header + lines.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0)], names=[key])
+                files.append(header + lines.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], names=[key, "file"])
 
-    df.select(key, column).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}").count()
+    made = df.select(key, column).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, file binary")
+    made.select(key, F.col("file").cast("string").alias("value")).write.partitionBy(key).text(folder)
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share."""
+    """A path in the folder that all executors share; what is there goes when the session's JVM ends."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = f"{root or tempfile.mkdtemp(prefix='spark-')}/rasters-{uuid.uuid4().hex}".removeprefix("file:")
-    os.makedirs(folder, exist_ok=True)
-    return folder
+    path = f"{root or tempfile.mkdtemp(prefix='spark-')}/rasters-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: cuts lineage and outlives lost executors."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_pixels(raster: Raster, path: str) -> None:
