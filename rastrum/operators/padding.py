@@ -18,6 +18,20 @@ def outside(a: Axis, low: int, high: int) -> Column:
     return F.concat(before, after)
 
 
+def places_outside(style: str, here: Column, a: Axis, low: int, high: int) -> Column:
+    """Array of the padded places that take their value from index ``here``, where the border is no wider than the image: two at most,
+    or a whole side for each end of a replicated one."""
+    first, last, none = F.lit(a.first), a.last_column(), F.array().cast("array<int>")
+    n, p = last - first + 1, here - first
+    if style == "replicate":
+        before = F.when(p == 0, F.sequence(F.lit(a.first - low), F.lit(a.first - 1))).otherwise(none) if low else none
+        after = F.when(p == n - 1, F.sequence((last + 1).cast("int"), (last + high).cast("int"))).otherwise(none) if high else none
+        return F.concat(before, after)
+    before, after = {"circular": (p - n, p + n), "symmetric": (-1 - p, 2 * n - 1 - p), "reflect": (-p, 2 * (n - 1) - p)}[style]
+    places = [F.when((before < 0) & (before >= -low), first + before), F.when((after >= n) & (after < n + high), first + after)]
+    return F.array_compact(F.array(*[x.cast("int") for x in places]))
+
+
 def pad_raster(raster: Raster, by: str | Border, sizes: Extent | None = None) -> Raster:
     """The raster with axes grown by ``sizes`` (or by the border's own).
 
@@ -46,6 +60,12 @@ def pad_raster(raster: Raster, by: str | Border, sizes: Extent | None = None) ->
             raise ValueError("reflect needs at least two pixels along a dimension")
         here, first, last = F.col(a.name), F.lit(a.first), a.last_column()
         added = F.filter(outside(a, low, high), lambda p: source_index(by.style, p, first, last) == here)
+        n = last - first + 1
+        near = F.lit(True) if by.style == "replicate" else F.lit(max(low, high)) <= (n - 1 if by.style == "reflect" else n)
+        if a.ragged:
+            added = F.when(near, places_outside(by.style, here, a, low, high)).otherwise(added)
+        elif by.style == "replicate" or max(low, high) <= len(a) - (by.style == "reflect"):
+            added = places_outside(by.style, here, a, low, high)
         df = df.withColumn(a.name, F.explode(F.concat(F.array(here.cast("int")), added)))
     return raster.with_df(df, axes)
 

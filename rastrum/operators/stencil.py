@@ -55,19 +55,19 @@ def whole_stencil(taps: int) -> Column:
 
 
 def _runs(raster: Raster, values: Sequence[str], dim: int, low: int, high: int, join: Callable[[Column, Column], Column], overlap: bool) -> Raster:
-    """Windows low..high of each line, put together from windows of 1, 8, 64.. pixels: a few window stages in one order, whatever the width."""
+    """Windows low..high of each line, put together from windows of 1, 4, 16.. pixels: a few window stages in one order, whatever the width."""
     width, window = high - low + 1, along(raster, dim)
     df, steps = raster.df, [1]
     spare = {v: [v] for v in values}
-    while steps[-1] * 8 <= width:
+    while steps[-1] * 4 <= width:
         made = {}
         for v in values:
             source = F.col(spare[v][-1])
-            parts = [shifted(source, k * steps[-1], window) for k in range(8)]
-            spare[v].append(f"__{v}_{steps[-1] * 8}")
+            parts = [shifted(source, k * steps[-1], window) for k in range(4)]
+            spare[v].append(f"__{v}_{steps[-1] * 4}")
             made[spare[v][-1]] = reduce(join, parts)
         df = df.withColumns(made)
-        steps.append(steps[-1] * 8)
+        steps.append(steps[-1] * 4)
     made = {}
     for v in values:
         parts, at, left = [], low, width

@@ -22,6 +22,7 @@ from rastrum.raster import Axis, Raster
 SEPARABLE: dict[str, Callable] = {"min": least, "max": greatest, "sum": added}
 #: Beyond these pixels of a window, values are selected by rank instead of sorting each window.
 SORTED_WINDOW = 128
+WIDE_LINE = 16
 Span = tuple[int, int]
 #: The same over the last axis of an array of windows, for images that are taken whole (a missing pixel is NaN there).
 BY_IMAGE: dict[str, Callable[[np.ndarray, float | None], np.ndarray]] = {
@@ -122,11 +123,14 @@ def map_window(
         return strided(out, indices) if indices else out
     need = tuple((max(0, -low), max(0, high)) for low, high in span)
     target = [a.grown(-low, -high) for a, (low, high) in zip(raster.axes, need)] if isinstance(by, Inner) else list(raster.axes)
-    if (python or function in BY_IMAGE) and returns == "double" and by_image(raster):
+    # Minima, maxima and sums over many pixels of a line: by running operations on arrays, where pixels are floating-point numbers
+    wide = function in ("min", "max", "sum", "mean") and any(high - low >= WIDE_LINE for low, high in span)
+    if (python or function in BY_IMAGE or wide) and returns == "double" and by_image(raster):
         out = _by_image(raster, function, span, by, need, target, q)
         return strided(out, indices) if indices else out
     line = len(raster.axes) == 1 and not raster.keys and function in ("min", "max", "sum", "mean")
-    if (python or function in BY_IMAGE or line) and returns == "double" and by_tiles(raster):
+    wide = wide and raster.df.schema[raster.value].dataType.typeName() in ("double", "float")
+    if (python or function in BY_IMAGE or line or wide) and returns == "double" and by_tiles(raster):
         out = _by_tiles(raster, function, span, by, need, target, q)
         return strided(out, indices) if indices else out
     padded = raster if isinstance(by, Inner) else pad_raster(raster, by, need) if any(s for p in need for s in p) else raster
