@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,8 +21,21 @@ def _pairs(low: tuple[int, ...] | None, high: tuple[int, ...] | None) -> Extent
     return tuple(zip(low, high))
 
 
+class Sized:
+    """Borders that take their sizes from a kernel."""
+
+    def sized(self, kernel, ndim: int | None = None):
+        """The border with the sizes that a kernel, or a sequence of them applied in turn, reaches to."""
+        from rastrum.plans.strategy import extents, factors_of
+
+        first = kernel[0] if isinstance(kernel, (tuple, list)) else kernel
+        n = ndim or (len(first.flags) if hasattr(first, "flags") else first.ndim)
+        need = extents(factors_of(kernel, n, separable=False), n)
+        return replace(self, low=tuple(a for a, _ in need), high=tuple(b for _, b in need))
+
+
 @dataclass(frozen=True)
-class Pad:
+class Pad(Sized):
     """Values from inside the image. ``symmetric`` repeats the edge pixel, ``reflect`` doesn't.
 
     Without sizes the kernel or window decides them.
@@ -42,7 +55,7 @@ class Pad:
 
 
 @dataclass(frozen=True)
-class Fill:
+class Fill(Sized):
     """One value everywhere outside."""
 
     value: float | int | str | bool = 0
@@ -55,7 +68,7 @@ class Fill:
 
 
 @dataclass(frozen=True)
-class Inner:
+class Inner(Sized):
     """Only results that need nothing from outside; indices keep their values. Sizes crop explicitly."""
 
     low: tuple[int, ...] | None = None

@@ -7,7 +7,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from rastrum.functions.borders import Border, Fill, Inner, Pad, border, source_index
@@ -95,13 +95,14 @@ def map_window(
     python: bool = False,
     even: bool = False,
     local_border: bool = False,
+    shaped: bool = False,
 ) -> Raster:
     """``function`` of the window around every pixel.
 
     Names: min, max, sum, mean, extrema (column of min and max), median, lower_median, nan_median, quantile
     (``q``), first, count, std. A callable of (value, place) columns is an aggregate of
     your own; with ``python`` it gets the window as a flat numpy array, first dimension
-    fastest, in Arrow batches. Images with a key that fit a row are taken whole for these, others in tiles with rims; beyond
+    fastest, or ``shaped`` in its dimensions, in Arrow batches; ``returns="auto"`` takes the type of its answer to one window of zeros. Images with a key that fit a row are taken whole for these, others in tiles with rims; beyond
     SORTED_WINDOW pixels medians and quantiles take the same time whatever the window. Separable names take a few window stages
     per dimension, whatever the width. A null pixel is NaN among floating-point ones, a pixel without a row an error. ``indices``: only these, numbered
     from 0 in the result where the step isn't 1. With ``local_border`` a Pad style continues the part of the
@@ -116,6 +117,10 @@ def map_window(
     span = spans(window, len(raster.axes), even or function == "extrema")
     if raster.df.schema[raster.value].dataType.typeName() in ("double", "float", "decimal") or function in ("sum", "mean"):
         raster = widened(raster, by)
+    if python and shaped:
+        function = _in_shape(function, [high - low + 1 for low, high in span])
+    if python and returns == "auto":
+        returns = answer_type(function(np.zeros(int(np.prod([high - low + 1 for low, high in span])))))
     if local_border:
         if not isinstance(by, Pad) or any(low > 0 or high < 0 for low, high in span):
             raise ValueError("a local border takes a Pad style and a window around its centre")
@@ -151,6 +156,19 @@ def map_window(
     return strided(out, indices) if indices else out
 
 
+def _in_shape(function: Callable, sizes: list[int]) -> Callable:
+    return lambda w: function(np.asarray(w).reshape(sizes, order="F"))
+
+
+def answer_type(answer) -> str:
+    """The Spark type of a Python value."""
+    kinds = {"b": "boolean", "i": "bigint", "u": "bigint", "f": "double", "U": "string"}
+    x = np.asarray(answer)
+    if x.dtype.kind not in kinds or x.ndim > 1:
+        raise ValueError(f"no column type for the answer {answer!r}")
+    return f"array<{kinds[x.dtype.kind]}>" if x.ndim else kinds[x.dtype.kind]
+
+
 def window_results(x: np.ndarray, function: str | Callable, sizes: list[int], q: float | None) -> np.ndarray:
     """``function`` of every window of an array. Windows are views, some rows of them at a time; values of a rank in large windows are selected."""
     n, size = x.ndim, int(np.prod(sizes))
@@ -253,7 +271,8 @@ def _whole(raster: Raster, function, span: list[Span], target: list[Axis], q, re
     if python:
         @F.pandas_udf(returns)
         def call(windows: pd.Series) -> pd.Series:
-            return pd.Series([function(np.asarray(w)) for w in windows])
+            answers = [function(np.asarray(w)) for w in windows]
+            return pd.Series([a.tolist() if isinstance(a, (np.ndarray, np.generic)) else a for a in answers])
 
         listed = df.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(o.alias("o"), v.alias("v")))).alias("__w"))
         full = F.when(F.size("__w") == len(taps), F.col("__w.v")).otherwise(F.raise_error(F.lit(MISSING)))
@@ -264,6 +283,16 @@ def _whole(raster: Raster, function, span: list[Span], target: list[Axis], q, re
     return raster.with_df(made, target)
 
 
+def sparse_window(raster: Raster, function: str, low: int, high: int) -> Raster:
+    """min, max, sum, mean or count of the pixels low..high around each pixel of lines with gaps: what has no row doesn't count, and results
+    stand where pixels do. Frames go by index, not by row, so no gap is filled."""
+    known = {"min": F.min, "max": F.max, "sum": F.sum, "mean": F.avg, "count": F.count}
+    if len(raster.axes) != 1 or function not in known:
+        raise ValueError(f"sparse windows are {', '.join(known)} along one dimension")
+    window = Window.partitionBy(*raster.group).orderBy(raster.names[0]).rangeBetween(low, high)
+    return raster.with_df(raster.df.withColumn(raster.value, known[function](raster.value).over(window)))
+
+
 def strided(raster: Raster, indices: dict[str, range]) -> Raster:
     df, axes = raster.df, []
     for a in raster.axes:

@@ -11,7 +11,8 @@ from rastrum.functions.borders import NA, Fill, Inner, Pad
 from rastrum.operators.denoise import denoise_tv
 from rastrum.operators.features import blob_log, find_local_maxima, gradients
 from rastrum.operators.filtering import filter_raster
-from rastrum.operators.windows import map_window
+from rastrum.operators.padding import pad_raster
+from rastrum.operators.windows import map_window, sparse_window
 from rastrum.plans import oracle as O
 from rastrum.plans.catalogue import BINOMIAL, D8, DENSE, DH, DS, GAUSS1, HALVES, KEY, ORACLES, QUERIES, add, add_fir, gabor_pair, gabor_sql, rounded
 from rastrum.raster import Axis, Raster
@@ -107,6 +108,17 @@ add("mapwin_long_line", lambda spark, d: rounded(map_window(ticks(spark, d), "ma
     f"with px as ({TICKS}) select i, round(max(v) over (order by i rows between 3 preceding and 4 following), 6) + 0.0 as o from px")
 
 
+# What isn't finite reaches as far as the kernel does, and no farther
+add("fft_nonfinite", lambda spark, d: rounded(filter_raster(spoilt(ticks(spark, d)), K.centered(np.full(31, 1 / 31)), Inner(), algorithm="fft")),
+    f"with px as ({TICKS}), w as (select i, sum(v) over l as s, max(case when i % 5000 = 77 then 1 else 0 end) over l as inf, max(case when i % 5000 = 90 then 1 else 0 end) over l as nan from px window l as (order by i rows between 15 preceding and 15 following)) "
+    "select i, case when nan = 1 then cast('nan' as double) when inf = 1 then cast('inf' as double) else round(s / 31, 6) + 0.0 end as o from w where i between 15 and 89264")
+
+
+def spoilt(r: Raster) -> Raster:
+    bad = F.when(F.col("i") % 5000 == 77, float("inf")).when(F.col("i") % 5000 == 90, float("nan"))
+    return r.with_df(r.df.withColumn("v", F.coalesce(bad, F.col("v"))))
+
+
 def long_signals(r: Raster) -> Raster:
     return r.with_df(r.df.where("__last >= 3"))
 
@@ -197,6 +209,8 @@ def flat_gradients(spark: SparkSession, d: str) -> DataFrame:
     return gradients(r, "sobel").df.select("vec_id", "i", "j", "k2", *[(F.round(f"g{k}", 6) + F.lit(0.0)).alias(f"g{k}") for k in (1, 2, 3)])
 
 
+SLOPED = K.kernel_at(np.arange(1.0, 13.0).reshape(4, 3), (-2, 0))
+CORNERS = "(values (-1, 2, 1.0), (1, -2, -2.0))"
 SMOOTH, SLOPE = O.line_kernel(-1, "0.25 0.5 0.25"), O.line_kernel(-1, "-0.5 0 0.5")
 add("grad_flat", flat_gradients,
     f"select x.vec_id, x.i, x.j, cast(0 as int) as k2, x.o as g1, y.o as g2, z.o as g3 from ({O.fir(O.IMG8, O.product_kernel(SLOPE, SMOOTH), 'replicate', D8, KEY)}) x "
@@ -205,6 +219,28 @@ add("grad_flat", flat_gradients,
 add_fir("fir_unseparated", S.img8, DENSE, "circular", O.IMG8, DENSE, "circular", D8, KEY, separable=False)
 
 
+# Borders sized by a kernel, windows in their shape, answers of their own type, lines with gaps
+add("pad_for_kernel", lambda spark, d: rounded(pad_raster(S.img8(spark, d), Pad("reflect").sized(SLOPED))),
+    f"with px as ({O.IMG8}) select px.vec_id, cast(p.i as int) as i, cast(q.j as int) as j, round(px.v, 6) + 0.0 as o from range(-2, 9) p(i), range(0, 10) q(j), px "
+    f"where px.i = {O.index('reflect', 'p.i', 8)} and px.j = {O.index('reflect', 'q.j', 8)}")
+add("mapwin_shaped", lambda spark, d: rounded(map_window(S.img8(spark, d), lambda w: float(w[0, -1] - 2 * w[-1, 0]), (3, 5), "symmetric", python=True, shaped=True)),
+    O.fir(O.IMG8, CORNERS, "symmetric", D8, KEY))
+add("mapwin_own_type", lambda spark, d: rounded(map_window(S.hours(spark, d), lambda w: int(np.argmax(w)), (3, 1), "replicate", python=True, returns="auto"), None),
+    "with px as (" + O.HOURS + "), w as (select *, coalesce(lag(v) over l, v) as a, coalesce(lead(v) over l, v) as b from px window l as (partition by event_type, j order by i)) "
+    "select event_type, i, j, cast(case when a >= v and a >= b then 0 when v >= b then 1 else 2 end as bigint) as o from w")
+for name, sql in (("sum", "sum"), ("max", "max"), ("count", "count")):
+    add(f"sparse_{name}", lambda spark, d, name=name: rounded(sparse_window(order_days(spark, d), name, -30, 10), 4),
+        f"with px as (select o_custkey, date_diff('day', date '1992-01-01', o_orderdate) as i, sum(floor(o_totalprice)) as v from orders group by all) "
+        f"select o_custkey, cast(i as int) as i, round({sql}(v) over (partition by o_custkey order by i range between 30 preceding and 10 following), 4) + 0.0 as o from px")
+
+
+def order_days(spark: SparkSession, d: str) -> Raster:
+    """What each customer ordered, by day: lines with gaps."""
+    day = F.datediff("o_orderdate", F.lit("1992-01-01")).cast("int").alias("i")
+    cells = S.table(spark, d, "orders").groupBy("o_custkey", day).agg(F.sum(F.floor("o_totalprice")).cast("double").alias("v"))
+    return Raster(cells, ("o_custkey",), (Axis("i", 0, 3000),))
+
+
 def narrow(r: Raster, kind: str) -> Raster:
     return r.with_df(r.df.withColumn("v", F.round(F.col("v") * 100).cast(kind)))
 

@@ -11,7 +11,7 @@ from rastrum.operators import recursive, tiles
 from rastrum.operators.filtering import smooth_size
 from rastrum.operators.recursive import fold_lines
 from rastrum.operators.tiles import box_sums, running, select_ranks, tile_sides
-from rastrum.operators.windows import window_results
+from rastrum.operators.windows import sparse_window, window_results
 
 RNG = np.random.default_rng(4)
 MODES = {"replicate": "edge", "circular": "wrap", "symmetric": "symmetric", "reflect": "reflect"}
@@ -258,3 +258,46 @@ def test_types(spark):
             assert np.abs(array(out) - by_hand(y, w, (1, 0), "edge")).max() < 1e-9  # a byte alone would overflow
     assert {kinds[k, "int"] for k in ("boolean", "byte", "short", "int", "long")} == {"bigint"} and {v for k, v in kinds.items() if k[1] == "float" or k[0][0] == "d"} == {"double"}
     assert dict(filter_raster(raster(spark, x, kind="short"), K.Laplacian(), Pad("circular")).df.dtypes)["v"] == "bigint"
+
+
+def test_borders_sized_by_kernels():
+    k = K.kernel_at(np.ones((4, 3)), (-2, 0))
+    assert Pad("reflect").sized(k) == Pad("reflect", (2, 0), (1, 2)) and Fill(1).sized((k, k)) == Fill(1, (4, 0), (2, 4)) and Inner().sized(K.Laplacian()) == Inner((1, 1), (1, 1))
+
+
+def test_windows_in_their_shape(spark):
+    x = RNG.integers(-9, 9, (6, 7))
+    for r in (raster(spark, x.astype(float)), keyless(spark, x.astype(float)), raster(spark, x, kind="long")):
+        out = map_window(r, lambda w: float(w[0, -1] - w[-1, 0]), (3, 5), "symmetric", python=True, shaped=True)
+        p = np.pad(x, ((1, 1), (2, 2)), mode="symmetric")
+        assert np.array_equal(array(out), np.array([[p[i, j + 4] - p[i + 2, j] for j in range(7)] for i in range(6)]))
+    kinds = {"bigint": lambda w: int(w.argmax()), "boolean": lambda w: bool(w[0] > 0), "string": lambda w: "a" if w[0] > 0 else "b", "array<double>": lambda w: np.sort(w) / 2}
+    for kind, f in kinds.items():
+        out = map_window(raster(spark, x.astype(float)), f, (3, 3), python=True, returns="auto")
+        assert dict(out.df.dtypes)["v"] == kind and out.df.where("v is null").count() == 0
+    with pytest.raises(ValueError):
+        map_window(raster(spark, x), lambda w: {"a": 1}, (3, 3), python=True, returns="auto")
+
+
+def test_lines_with_gaps(spark):
+    rows = [(u, int(t), float(v)) for u in (1, 2) for t, v in zip(np.sort(RNG.choice(200, 40, replace=False)), RNG.normal(size=40))]
+    r = Raster(spark.createDataFrame(rows, "u int, i int, v double"), ("u",), (Axis("i", 0, 199),))
+    for name, f in (("sum", np.sum), ("max", np.max), ("count", len), ("min", np.min), ("mean", np.mean)):
+        for row in sparse_window(r, name, -7, 3).df.collect():
+            assert abs(row.v - f([v for u, t, v in rows if u == row.u and row.i - 7 <= t <= row.i + 3])) < 1e-9
+    whole = r.filled(0.0)
+    assert whole.df.count() == 400 and np.isclose(whole.df.agg(F.sum("v")).first()[0], sum(v for _, _, v in rows))
+    with pytest.raises(ValueError):
+        sparse_window(r, "median", -1, 1)
+
+
+def test_images_of_another_size(spark, tmp_path):
+    from rastrum.sources.tables import read_images, write_bitmaps
+
+    df = spark.createDataFrame([(k, [k / 100] * 6) for k in range(5)], "k long, a array<double>")
+    write_bitmaps(df, "k", "a", (2, 3), str(tmp_path / "a"))
+    r = read_images(spark, str(tmp_path / "a"), 2, 3, 3)
+    assert r.df.count() == 5 * 18 and {int(x.v) for x in r.df.select("v").distinct().collect()} == {128, 129, 130, 131, 132}
+    with pytest.raises(Exception, match="is 2 x 3 x 3, not 2 x 2 x 3"):
+        read_images(spark, str(tmp_path / "a"), 2, 2, 3).df.collect()
+    assert read_images(spark, str(tmp_path / "a"), 2, 2, 3, others="skip").df.count() == 0
