@@ -20,7 +20,7 @@ from rastrum.sources.tables import kept
 PASS_ROUNDS = 32
 
 
-def tv_step_images(g: np.ndarray, lam: float, rounds: int, periodic: bool = True, channel: int | None = None, slopes: list[np.ndarray] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+def tv_rounds(g: np.ndarray, lam: float, rounds: int, periodic: bool = True, channel: int | None = None, slopes: list[np.ndarray] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
     """min |u - g|^2 + lam TV(u): forward differences and their exact adjoint. Differences are taken along all
     dimensions but ``channel``; the slopes of all channels of a pixel make one norm. Returns u and the slopes, from which
     another call can go on."""
@@ -52,13 +52,18 @@ def tv_step_images(g: np.ndarray, lam: float, rounds: int, periodic: bool = True
     return u, p
 
 
+def tv_step_images(g: np.ndarray, lam: float, rounds: int, periodic: bool = True, channel: int | None = None) -> np.ndarray:
+    """One image after the given rounds."""
+    return tv_rounds(g, lam, rounds, periodic, channel)[0]
+
+
 def denoise_tv(raster: Raster, lam: float, rounds: int = 10, periodic: bool = True, channel: str | None = None) -> Raster:
     """Every image denoised with a fixed number of rounds; ``periodic`` chooses the rule at the far edges, ``channel``
     names the axis of colours, if there is one. An image without a key, or too large for a row, goes in tiles. A null pixel is NaN."""
     at = None if channel is None else raster.names.index(channel)
     if by_tiles(raster) and rounds > 0:
         return _in_tiles(raster, lam, rounds, periodic, at)
-    return raster.map_images(lambda x: tv_step_images(x, lam, rounds, periodic, at)[0])
+    return raster.map_images(lambda x: tv_step_images(x, lam, rounds, periodic, at))
 
 
 def _in_tiles(raster: Raster, lam: float, rounds: int, periodic: bool, channel: int | None) -> Raster:
@@ -73,7 +78,7 @@ def _in_tiles(raster: Raster, lam: float, rounds: int, periodic: bool, channel:
             if channel is not None and spot.core[channel].stop - spot.core[channel].start < colours:
                 raise ValueError("the axis of colours is too long for a tile")
             # What is wrong at the ends of a block that aren't the image's comes nearer by a pixel a round
-            u, p = tv_step_images(blocks[0], lam, now, False, channel, blocks[1:] or None)
+            u, p = tv_rounds(blocks[0], lam, now, False, channel, blocks[1:] or None)
             return [x[spot.core] for x in (u, blocks[0], *p)]
 
         padded = pad_raster(state, Pad("circular"), need) if periodic else state
