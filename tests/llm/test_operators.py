@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -11,7 +12,7 @@ from rastrum.llm.bpe import WordBpe, encode_documents
 from rastrum.llm.hnsw import near_groups
 from rastrum.llm.jaccard import keep_one, near_classes, shingle_set
 from rastrum.llm.lines import dedup_lines
-from rastrum.llm.lm import LogBilinear, score_texts, train
+from rastrum.llm.lm import DIM, Ids, LogBilinear, draw_blocks, fit, score_texts, windows
 from rastrum.llm.packing import best_cuts, pack, split_tail
 from rastrum.llm.quality import keep_good, score_quality
 from rastrum.llm.shards import ShardStore
@@ -96,13 +97,34 @@ def test_keep_one_tells_rows_by_text(spark):
     assert out.columns == docs.columns and sorted((r.doc_id or -1, r.text or "") for r in out.collect()) == [(-1, ""), (3, b), (7, a), (11, "")]
 
 
+def plain_chances(model: LogBilinear):
+    """P of all ids behind three ids, nearest first, straight from the parameters."""
+    rows, v, known = model.rows.astype(float), model.v, {}
+
+    def softmax(s):
+        e = np.exp(s - s.max())
+        return e / e.sum()
+
+    def chances(before):
+        if before not in known:
+            x = sum(rows[u, :DIM] * rows[2 * v + j, :DIM] for j, u in enumerate(before))
+            score = rows[:, :DIM] @ x + rows[:, DIM]
+            known[before] = out = np.empty(v)
+            for k, p in enumerate(softmax(score[2 * v + 3 :])):
+                members = model.classes.order[model.classes.edges[k] : model.classes.edges[k + 1]]
+                out[members] = p * softmax(score[v + members])
+        return known[before]
+
+    return chances
+
+
 def test_lm(spark, odd, none, docs, monkeypatch):
     from collections import Counter
 
     from rastrum.llm import lm
 
     made = []
-    monkeypatch.setattr(lm, "train", lambda *a, **k: made.append(train(*a, **k)) or made[-1])
+    monkeypatch.setattr(lm, "fit", lambda *a, **k: made.append(fit(*a, **k)) or made[-1])
     rows = docs.select("doc_id", "text").collect()
     got = {r.doc_id: r for r in score_texts(docs, vocabulary=64, buckets=16, most_frequent=300).collect()}
     counts, tokens = Counter(), {}
@@ -111,7 +133,7 @@ def test_lm(spark, odd, none, docs, monkeypatch):
         if zlib.crc32(str(r.doc_id).encode()) % 7 != 2:
             counts.update(tokens[r.doc_id])
     n, v = sum(counts.values()), len(counts)
-    # The model's probability of every token in plain Python: mixture of the positions, then the share inside a bucket
+    # The model's probability of every token in plain Python: its class, itself in the class, then the share inside a bucket
     top = sorted((w for w in counts if w), key=lambda w: (-counts[w], w))[:63]
     ids = {w: i for i, w in enumerate([b"", *top])}
     bucket = lambda w: zlib.crc32(w[-3:]) % 16
@@ -119,33 +141,54 @@ def test_lm(spark, odd, none, docs, monkeypatch):
     totals = Counter({b: 1 for b in range(16)})
     for w, c in counts.items():
         totals[bucket(w)] += 0 if w in ids else c + 1
-    tables = [made[0].table(j).astype(float) for j in range(3)]
+    chances = plain_chances(made[0])
     for i, seen in tokens.items():
         base = sum(np.log10((counts[t] + 1) / (n + v + 1)) for t in seen)
         assert got[i].train_tokens == n and got[i].n_tokens == len(seen) and got[i].n_known == sum(t in counts for t in seen) and abs(got[i].base_score - base) < 1e-6
         before, score = [0, 0, 0], 0.0
         for t in seen:
-            p = sum(m * tables[j][before[-1 - j], of(t)] for j, m in enumerate((0.5, 0.3, 0.2)))
-            score += np.log10(p) + (0 if t in ids else np.log10((counts[t] + 1) / totals[bucket(t)]))
+            p = chances(tuple(before[:-4:-1]))
+            score += np.log10(p[of(t)]) + (0 if t in ids else np.log10((counts[t] + 1) / totals[bucket(t)]))
             before.append(of(t))
         assert abs(got[i].score - score) < 1e-3
     held = [r for r in got.values() if r.held_out]
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
+    assert all(abs(chances(h).sum() - 1) < 1e-5 for h in ((0, 0, 0), (1, 2, 3), (70, 5, 79)))
     assert score_texts(odd).count() == len(ROWS) and score_texts(none).count() == 0
     # More than ``most_frequent`` tokens that are commoner than the end of a text
     few = spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(40))) for k in range(1, 6)], "doc_id long, text string").unionAll(spark.createDataFrame([(9, "w1 w2 " * 30)], "doc_id long, text string"))
     assert score_texts(few, vocabulary=8, buckets=4, most_frequent=2).where("isnan(score) or score > 0 or n_known > n_tokens").count() == 0
 
 
-def test_lm_training():
-    v = 6
-    pairs = np.random.default_rng(1).integers(0, 4000, (3, v, v)) + np.array([1, 9000, 1, 1, 1, 1])[None, None]
-    pair, n = np.arange(3 * v * v), pairs.ravel()
-    model = train(pair, n, v, noise=16, steps=800, batch=1024)
-    assert isinstance(model, LogBilinear)
-    for j in range(3):
-        table = model.table(j)
-        assert np.allclose(table.sum(1), 1, atol=1e-5) and np.abs(table - pairs[j] / pairs[j].sum(1, keepdims=True)).max() < 0.08
+def test_lm_training(spark):
+    """A token follows from the one before it in 0.725 of cases, whatever came earlier: learnt in the contexts that occur."""
+    rng = np.random.default_rng(1)
+    line = [0, 1, 2]
+    for _ in range(64 * 2000):
+        line.append(1 + (line[-1] * 5 + 3) % 12 if rng.random() < 0.7 else int(rng.integers(1, 13)))
+    blocks = spark.createDataFrame([(line[k : k + 67],) for k in range(0, len(line) - 67, 64)], "ids array<int>")
+    n = np.bincount(line, minlength=13) + 0.5
+    model = fit(blocks.repartition(3), n / n.sum(), rates=(0.03, 0.03), class_rates=(0.06, 0.06, 0.06))
+    chances = plain_chances(model)
+    for u in range(1, 13):
+        p = np.mean([chances(tuple(line[i : i - 3 : -1])) for i in range(3, 3000) if line[i] == u], 0)
+        assert abs(p.sum() - 1) < 1e-5 and abs(p[1 + (u * 5 + 3) % 12] - 0.725) < 0.15
+    at = np.stack([line[2:-1], line[1:-2], line[:-3], line[3:]], 1)[:500]
+    assert np.allclose(np.exp(model.log_probabilities(at, 100)), [chances(tuple(w[:3]))[w[3]] for w in at.tolist()], atol=1e-4)
+
+
+def test_lm_blocks(spark):
+    """Windows of the drawn blocks against the texts; all blocks at a share of one, about a third at three."""
+    ids = Ids({b"": 0, **{f"w{i}".encode(): i + 1 for i in range(50)}}, 4)
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"W{i}" for i in rng.integers(0, 50, n)) for n in (0, 1, 63, 64, 65, 127, 128, 20_000)] + [None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = []
+    for t in texts:
+        line = [0, 0, 0, *ids.of((t or "").encode().lower().split()), 0]
+        want += [tuple(line[i - 1 - j] for j in range(3)) + (line[i],) for i in range(3, len(line))]
+    got = [windows(pa.record_batch([pa.array([r.ids for r in draw_blocks(docs, ids, s).collect()], pa.list_(pa.int32()))], ["ids"])) for s in (1.0, 3.0)]
+    assert sorted(map(tuple, got[0].tolist())) == sorted(want) and 0.2 < len(got[1]) / len(want) < 0.5 and set(map(tuple, got[1].tolist())) <= set(want)
 
 
 def vectors(spark, rows):
