@@ -168,7 +168,7 @@ def test_lm_training(spark):
         line.append(1 + (line[-1] * 5 + 3) % 12 if rng.random() < 0.7 else int(rng.integers(1, 13)))
     blocks = spark.createDataFrame([(line[k : k + 67],) for k in range(0, len(line) - 67, 64)], "ids array<int>")
     n = np.bincount(line, minlength=13) + 0.5
-    model = fit(blocks.repartition(3), n / n.sum(), rates=(0.03, 0.03), class_rates=(0.06, 0.06, 0.06))
+    model = fit(blocks.repartition(3), n / n.sum(), rates=(0.03, 0.03), class_rates=(0.06,) * 10)
     chances = plain_chances(model)
     for u in range(1, 13):
         p = np.mean([chances(tuple(line[i : i - 3 : -1])) for i in range(3, 3000) if line[i] == u], 0)
