@@ -220,6 +220,23 @@ def test_vectors(spark):
     assert nearest(vectors(spark, [])).count() == 0 and near_groups(vectors(spark, [])).count() == 0 and nearest(vectors(spark, rows[:3])).count() == 2
 
 
+def test_queries_unlike_the_rest(spark):
+    """Queries far from all clusters, a dense group under one code, and components whose squares overflow."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 32))[rng.integers(60, size=4000)] + rng.normal(0, 0.1, (4000, 32))
+    x[1::4] = x[1] + rng.normal(0, 1e-3, (1000, 32))
+    x[::50] = rng.normal(size=(80, 32))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u[::50] @ u.T
+    s[np.arange(80), np.arange(0, 4000, 50)] = -2
+    true = np.argsort(-s, 1, kind="stable")[:, :5]
+    for size in (1.0, 1e200):
+        given = spark.createDataFrame([(i, (v * size).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = nearest(given).collect()
+        assert len(got) == 400 and sum(r.vec_id in true[r.query_id // 50] for r in got) >= 0.95 * 400
+        assert max(abs(r.score - s[r.query_id // 50, r.vec_id]) for r in got) < 1e-12
+
+
 def test_jaccard(odd, none, docs):
     rows = docs.select("doc_id", "text").collect()
     sets = {r.doc_id: set(shingle_set(r.text or "").tolist()) for r in rows}
