@@ -191,6 +191,17 @@ def test_lm_blocks(spark):
     assert sorted(map(tuple, got[0].tolist())) == sorted(want) and 0.2 < len(got[1]) / len(want) < 0.5 and set(map(tuple, got[1].tolist())) <= set(want)
 
 
+def test_every_training_token_is_learnt_from(spark, monkeypatch):
+    """The blocks that the model learns from hold all tokens and ends of all training texts, and of no others."""
+    from rastrum.llm import lm
+
+    docs = spark.range(3000).selectExpr("id as doc_id", "array_join(transform(sequence(1, 200), k -> concat('w', (id * k) % 97)), ' ') as text")
+    learnt = []
+    monkeypatch.setattr(lm, "fit", lambda blocks, p: learnt.append(sum(len(windows(b)) for b in blocks.toArrow().combine_chunks().to_batches())) or fit(blocks.limit(20), p))
+    got = score_texts(docs, vocabulary=64, buckets=16).select("held_out", "n_tokens", "train_tokens").toPandas()
+    assert learnt == [got.n_tokens[~got.held_out].sum()] and learnt[0] == got.train_tokens[0] > 500_000
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
