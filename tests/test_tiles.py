@@ -301,3 +301,14 @@ def test_images_of_another_size(spark, tmp_path):
     with pytest.raises(Exception, match="is 2 x 3 x 3, not 2 x 2 x 3"):
         read_images(spark, str(tmp_path / "a"), 2, 2, 3).df.collect()
     assert read_images(spark, str(tmp_path / "a"), 2, 2, 3, others="skip").df.count() == 0
+
+
+def test_bitmaps_are_written_by_many_tasks(spark, tmp_path):
+    """A table in one partition, as small Parquet files are, doesn't leave all files to one task."""
+    from rastrum.sources.tables import read_images, write_bitmaps
+
+    df = spark.range(40).selectExpr("id as k", "array(0.1, 0.2, 0.3, 0.4) as a").coalesce(1)
+    write_bitmaps(df, "k", "a", (2, 2), str(tmp_path / "a"))
+    files = [p.name for p in (tmp_path / "a").glob("k=*/part-*.txt")]
+    assert len(files) == 40 and len({f.split("-")[1] for f in files}) > 1
+    assert read_images(spark, str(tmp_path / "a"), 2, 2, 3).df.count() == 40 * 12
