@@ -312,3 +312,21 @@ def test_bitmaps_are_written_by_many_tasks(spark, tmp_path):
     files = [p.name for p in (tmp_path / "a").glob("k=*/part-*.txt")]
     assert len(files) == 40 and len({f.split("-")[1] for f in files}) > 1
     assert read_images(spark, str(tmp_path / "a"), 2, 2, 3).df.count() == 40 * 12
+
+
+def test_image_folders_are_listed_by_few_tasks(spark, tmp_path):
+    from rastrum.sources.tables import read_images, write_bitmaps
+
+    sc = spark.sparkContext
+    most = 4 * sc.defaultParallelism
+    n, name = most + 40, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    df = spark.createDataFrame([(k, [0.1 * k] * 4) for k in range(n)], "k long, a array<double>")
+    write_bitmaps(df, "k", "a", (2, 2), str(tmp_path / "a"))
+    before = spark.conf.get(name, None)
+    sc.setJobGroup("listing", "listing")
+    r = read_images(spark, str(tmp_path / "a"), 2, 2, 3)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    status = sc.statusTracker()
+    stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup("listing") for s in status.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages if s) <= most
+    assert spark.conf.get(name, None) == before and r.df.count() == n * 12
